@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import common, exact_dedup, mixing
+from . import bytebpe, common, exact_dedup, mixing, token_counts
 
 
 def _ready(f):
@@ -15,6 +15,8 @@ def _ready(f):
 
 _QUERIES = {
     "op6_exact_dedup": exact_dedup.query,
+    "op7_bpe": bytebpe.query,
+    "op8_token_counts": token_counts.query,
     "op9_mixing": mixing.query,
 }
 
