@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bytebpe, common, exact_dedup, mixing, token_counts
+from . import bytebpe, common, exact_dedup, mixing, substring_dedup, suffix_dedup, token_counts
 
 
 def _ready(f):
@@ -14,10 +14,12 @@ def _ready(f):
 
 
 _QUERIES = {
+    "op4_substring_dedup": substring_dedup.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_bpe": bytebpe.query,
     "op8_token_counts": token_counts.query,
     "op9_mixing": mixing.query,
+    "op10_suffix_dedup": suffix_dedup.query,
 }
 
 _SQL = {
