@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bytebpe, common, exact_dedup, mixing, substring_dedup, suffix_dedup, token_counts
+from . import bytebpe, common, exact_dedup, mixing, near_dedup, substring_dedup, suffix_dedup, token_counts
 
 
 def _ready(f):
@@ -14,6 +14,7 @@ def _ready(f):
 
 
 _QUERIES = {
+    "op1_near_dedup": near_dedup.query,
     "op4_substring_dedup": substring_dedup.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_bpe": bytebpe.query,
