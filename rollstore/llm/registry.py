@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bytebpe, common, exact_dedup, mixing, near_dedup, substring_dedup, suffix_dedup, token_counts
+from . import ann, bytebpe, common, exact_dedup, license_scan, mixing, near_dedup, substring_dedup, suffix_dedup, token_counts
 
 
 def _ready(f):
@@ -15,6 +15,8 @@ def _ready(f):
 
 _QUERIES = {
     "op1_near_dedup": near_dedup.query,
+    "op2_license_scan": license_scan.query,
+    "op3_ann": ann.query,
     "op4_substring_dedup": substring_dedup.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_bpe": bytebpe.query,
