@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bytebpe, common, exact_dedup, license_scan, mixing, near_dedup, substring_dedup, suffix_dedup, token_counts
+from . import ann, bytebpe, common, exact_dedup, license_scan, mixing, near_dedup, quality, substring_dedup, suffix_dedup, token_counts
 
 
 def _ready(f):
@@ -18,6 +18,7 @@ _QUERIES = {
     "op2_license_scan": license_scan.query,
     "op3_ann": ann.query,
     "op4_substring_dedup": substring_dedup.query,
+    "op5_quality": quality.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_bpe": bytebpe.query,
     "op8_token_counts": token_counts.query,
@@ -32,7 +33,9 @@ _SQL = {
 
 
 def queries() -> dict:
-    return {name: _ready(f) for name, f in _QUERIES.items()}
+    import corpus_pipeline
+
+    return {name: _ready(f) for name, f in (_QUERIES | {"pipeline": corpus_pipeline.run}).items()}
 
 
 def oracle_sql() -> dict[str, str]:
