@@ -227,7 +227,7 @@ def _times() -> None:
             e.create_table(cfg, spark.read.parquet(f"{sf_dir}/events.parquet"))
             # Rows stored when they were young are rolled up when a later query reads them.
             deltas = e.deltas(e.table("events"))
-            e.deltas = lambda _: deltas
+            e.deltas = lambda *_: deltas
             clock[0] = 1706184000
             return e.query({"type": "aggregate", "table": "events", "dimensions": ["event_type", "ts"], "metrics": ["count"]})
 

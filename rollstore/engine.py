@@ -16,7 +16,7 @@ from .operators import limits, merge
 from .operators.states import row_states
 from .plans import partitions, planner, sql
 from .schema import SEQ, UNLIMITED, TableSpec
-from .sources import ingest
+from .sources import ingest, pushdown
 from .types import col
 
 
@@ -209,10 +209,12 @@ class Engine:
 
     # Queries
 
-    def deltas(self, table: Table) -> DataFrame:
-        """All states of a table, not merged with each other."""
+    def deltas(self, table: Table, f: dict | None = None) -> DataFrame:
+        """All states of a table that may pass the filter, not merged with each other."""
         if table.source is not None:
-            return row_states(table.spec, ingest.from_columns(table.spec, table.source, int(self.clock()), 0))
+            p = pushdown.implied(table.spec, table.source, f)
+            source = table.source if p is None else table.source.where(p)
+            return row_states(table.spec, ingest.from_columns(table.spec, source, int(self.clock()), 0, ordered=False))
         if table.deltas:
             frames = [self.spark.read.schema(table.schema).option("basePath", p).parquet(p) for p in table.deltas]
             out = frames[0]
@@ -239,7 +241,7 @@ class Engine:
         return plan(table.spec, self._pruned(table, q.get("filter")), q, int(self.clock()))
 
     def _pruned(self, table: Table, f: dict | None) -> DataFrame:
-        rows = self.deltas(table)
+        rows = self.deltas(table, f)
         if not table.spec.partitions or table.source is not None:
             return rows
         targets = partitions.target_partitions(f, list(table.spec.partition_by), table.spec.partitions)

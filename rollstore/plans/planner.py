@@ -147,14 +147,16 @@ def grouped(spec: TableSpec, rows: DataFrame, keys: list[Column], names: list[st
     hidden = spec.hidden_count and any(m.agg == "avg" for m in metrics)
     wanted = [col(m.name) for m in others] + ([F.col(COUNT)] if hidden else [])
     if bitsets:
-        elements = [F.transform(col(m.name), lambda x, i=i: F.struct(F.lit(i).alias("i"), x.cast("decimal(20,0)").alias("x"))) for i, m in enumerate(bitsets)]
+        # One bitset's elements need no tag.
+        single = F.transform(col(bitsets[0].name), lambda x: F.struct(F.lit(0).alias("i"), x.alias("x"))) if len(bitsets) == 1 else None
+        elements = [single] if single is not None else [F.transform(col(m.name), lambda x, i=i: F.struct(F.lit(i).alias("i"), x.cast("decimal(20,0)").alias("x"))) for i, m in enumerate(bitsets)]
         rows = rows.select(*keys, *wanted, F.posexplode_outer(F.concat(*elements)).alias("__at", "__e"))
         first = F.coalesce(F.col("__at"), F.lit(0)) == 0
         rows = rows.select(*map(col, names), *(F.when(first, c).alias(m.name) for m, c in zip(others, wanted, strict=False)), *([F.when(first, F.col(COUNT)).alias(COUNT)] if hidden else []), "__e")
     else:
         rows = rows.select(*keys, *wanted)
     aggs = [merge.merged(m) for m in others]
-    aggs += [F.count_distinct(F.when(F.col("__e.i") == i, F.col("__e.x"))).alias(m.name) for i, m in enumerate(bitsets)]
+    aggs += [F.count_distinct(F.col("__e.x") if single is not None else F.when(F.col("__e.i") == i, F.col("__e.x"))).alias(m.name) for i, m in enumerate(bitsets)]
     aggs += [F.sum(COUNT).alias(COUNT)] if hidden else []
     if names:
         out = rows.groupBy(*map(col, names)).agg(*aggs)

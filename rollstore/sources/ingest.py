@@ -93,8 +93,12 @@ def typed(spec: TableSpec, records: DataFrame, fields: dict[str, int], now: int)
     return records.select(*out, SEQ)
 
 
-def from_columns(spec: TableSpec, df: DataFrame, now: int, batch: int) -> DataFrame:
-    """Typed rows of a DataFrame whose columns are named like the fields; a null is an empty text, false or zero."""
+def from_columns(spec: TableSpec, df: DataFrame, now: int, batch: int, ordered: bool = True) -> DataFrame:
+    """Typed rows of a DataFrame whose columns are named like the fields; a null is an empty text, false or zero.
+
+    Without ``ordered`` all rows arrive at once: a row number is not deterministic, and
+    filters would not be pushed below it into the scan.
+    """
     kinds = dict(df.dtypes)
 
     def dimension(d: Dimension) -> Column:
@@ -117,7 +121,7 @@ def from_columns(spec: TableSpec, df: DataFrame, now: int, batch: int) -> DataFr
         raise ValueError(f"Column name '{missing[0]}' is not specified in load spec")
     out = [dimension(d).alias(d.name) for d in spec.dimensions]
     out += [col(m.field).cast(m.num.spark).alias(m.name) for m in spec.metrics if m.agg != "count"]
-    seq = F.struct(F.lit(batch).alias("b"), F.lit("").alias("f"), F.lit(0).cast("bigint").alias("o"), F.monotonically_increasing_id().alias("n"))
+    seq = F.struct(F.lit(batch).alias("b"), F.lit("").alias("f"), F.lit(0).cast("bigint").alias("o"), (F.monotonically_increasing_id() if ordered else F.lit(0).cast("bigint")).alias("n"))
     return df.select(*out, seq.alias(SEQ))
 
 
