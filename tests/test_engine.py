@@ -217,3 +217,29 @@ def test_empty_table(spark):
     assert got(e, agg(["country"], ["count"])) == got(e, agg([], ["count"])) == got(e, "SELECT RAW(*) FROM events") == []
     e.drop_table("events")
     assert got(e, "SHOW TABLES") == []
+
+
+def test_shell(spark, tmp_path):
+    import io
+
+    from rollstore.__main__ import open_engine, run
+
+    spark.createDataFrame([("a", 1), ("b", 2)], "k string, n int").coalesce(1).write.parquet(str(tmp_path / "t"))
+    e = open_engine(spark, {"tables": [{"name": "t", "parquet": str(tmp_path / "t"), "dimensions": [{"name": "k"}], "metrics": [{"name": "n", "type": "int_sum"}]}]})
+    out = io.StringIO()
+    run(e, io.StringIO("SELECT k, n FROM t\nORDER BY k;\nSELECT nothing FROM t;\n"), out, header=True)
+    assert out.getvalue().startswith("k\tn\na\t1\nb\t2\nError: No such column")
+
+
+def test_without_training_operators(tmp_path):
+    """The entry module works where the training-data operators are gone."""
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
+    root = pathlib.Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "rollstore", tmp_path / "rollstore", ignore=shutil.ignore_patterns("llm"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and e.oracle_sql() and not any(n.startswith('op') for n in q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PYTHONPATH": ""})
