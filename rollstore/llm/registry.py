@@ -27,6 +27,9 @@ _QUERIES = {
 }
 
 _SQL = {
+    "op1_near_dedup": near_dedup.SQL,
+    "op4_substring_dedup": substring_dedup.SQL,
+    "op10_suffix_dedup": suffix_dedup.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op9_mixing": mixing.SQL,
 }

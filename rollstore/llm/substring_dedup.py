@@ -197,3 +197,17 @@ def substring_dedup(
 
 def query(spark, sf_dir: str) -> DataFrame:
     return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS s FROM p),
+f AS (SELECT s, min(doc_id) AS first FROM x GROUP BY s),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM x JOIN f USING (s) WHERE first < doc_id),
+u AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d),
+r AS (SELECT u.doc_id, count(g.k) AS n_removed, string_agg(word, ' ' ORDER BY u.k) FILTER (g.k IS NULL) AS kept
+      FROM u LEFT JOIN g ON u.doc_id = g.doc_id AND u.k = g.k GROUP BY u.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+"""

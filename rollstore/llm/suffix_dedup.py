@@ -237,3 +237,19 @@ def suffix_dedup(
 
 def query(spark, sf_dir: str) -> DataFrame:
     return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+x AS (SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(1, len(h) // 2 - 48)) AS i FROM d WHERE len(h) >= 100)),
+f AS (SELECT s, min(doc_id) AS first FROM x GROUP BY s HAVING count(*) > 1),
+g AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 50, true)::INT AS new FROM x JOIN f USING (s) WHERE first < doc_id),
+k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g),
+a AS (SELECT doc_id, min(i) AS lo, max(i) + 49 AS hi FROM k GROUP BY doc_id, span),
+b AS (SELECT *, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) AS before FROM a),
+r AS (SELECT doc_id, sum(hi - lo + 1) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (lo - 1 - before)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS kept
+      FROM b JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN r.doc_id IS NULL THEN h ELSE kept END)) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+"""
