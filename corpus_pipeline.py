@@ -27,6 +27,7 @@ def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.withColumn("_h", F.sha2(common.text_or_empty(), 256))
     at = lambda x: keyed["doc_id"].eqNullSafe(x["_i"]) & (keyed["_h"] == x["_h"])
     gone = found.where("not kept or n > 1")
+    gone = common.small_side(gone, gone.count(), 64)
     one = keyed.join(gone, at(gone), "left_anti").select(docs.columns)
     repeated = found.where("kept and n > 1")
     if not repeated.limit(1).count():
@@ -37,7 +38,9 @@ def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies, the one with the smallest id."""
     common.prepare(spark)
-    gone = near_dedup.near_dedup(docs).where("not kept").select(F.col("doc_id")).distinct()
+    gone = common.Scratch(spark, "no-near-copies").save(near_dedup.near_dedup(docs).where("not kept").select("doc_id").distinct(), "gone")
+    # Few documents go: while their ids are proven small, the texts need no shuffle.
+    gone = common.small_side(gone, gone.count(), 16)
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
@@ -45,6 +48,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it."""
     taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("_i"), F.col("size").alias("_n")).agg(F.max("copies").alias("_c")).where("_c > 0")
     taken = common.Scratch(spark, "mixed").save(taken, "copies")
+    taken = common.small_side(taken, taken.count(), 40)
     sized = docs.withColumn("_w", mixing.word_count("text"))
     rows = sized.join(taken, sized["doc_id"].eqNullSafe(taken["_i"]) & (sized["_w"] == taken["_n"]))
     return rows.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_c").cast("int")))).select(docs.columns)
