@@ -46,7 +46,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def window_hashes(units: np.ndarray, k: int) -> np.ndarray:
-    """The polynomial hash of each k consecutive unit hashes, made by doubling; len - k + 1 of them."""
+    """The polynomial hash of each k consecutive unit hashes, made by doubling; len - k + 1 of them.
+
+    High bits are well spread, low ones are not: mix those that are kept.
+    """
     if len(units) < k:
         return units[:0]
     cur, n, power = units, 1, BASE
@@ -65,7 +68,7 @@ def window_hashes(units: np.ndarray, k: int) -> np.ndarray:
             cur = cur[:-n] * np.uint64(power) + cur[n:]
             power = power * power & MASK64
             n *= 2
-    return mixed(acc)
+    return acc
 
 
 def window_min(h: np.ndarray, w: int) -> np.ndarray:

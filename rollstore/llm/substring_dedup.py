@@ -43,14 +43,22 @@ def levels(window: int, least: int = LEAST) -> list[int]:
 
 
 def anchors(units: np.ndarray, owner: np.ndarray, length: int, window: int, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the live windows: their starts, and the place and hash of each one's least short window."""
+    """Runs of neighbouring live windows with one least short window: first window, number of windows, hash."""
     h = B.window_hashes(units, length)
     starts = np.flatnonzero(live)
     if not len(starts):
         return starts, starts, h[:0]
     key = (h & ~LOW32) | np.arange(len(h), dtype=np.uint64)
     at = (B.window_min(key, window - length + 1)[starts] & LOW32).astype(np.int64)
-    return starts, at, h[at]
+    new = np.ones(len(starts), bool)
+    new[1:] = (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)
+    first = np.flatnonzero(new)
+    return starts[first], np.diff(np.append(first, len(starts))), B.mixed(h[at[first]])
+
+
+def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All places of runs."""
+    return np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else first, n) + np.arange(int(n.sum()))
 
 
 def whole_windows(owner: np.ndarray, window: int) -> np.ndarray:
@@ -84,11 +92,12 @@ class WordBlock(B.Block):
         """The windows alive after the answers to the given lengths."""
         live = whole_windows(self.owner, window)
         for i, length in enumerate(lengths):
-            starts, _, h = anchors(self.hashes, self.owner, length, window, live)
-            uniq, inverse, alive = in_two(h, self.owner[starts])
+            first, n, h = anchors(self.hashes, self.owner, length, window, live)
+            _, inverse, alive = in_two(h, self.owner[first])
             alive[refs(row[f"a{i}"])] = True
+            keep = alive[inverse]
             live = np.zeros(len(live), bool)
-            live[starts[alive[inverse]]] = True
+            live[spread(first[keep], n[keep])] = True
         return live
 
 
@@ -140,8 +149,8 @@ def substring_dedup(
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in B.rows_of(batches):
                 b = WordBlock(row)
-                starts, _, h = anchors(b.hashes, b.owner, lengths[i], window, b.live_after(row, lengths[:i], window))
-                uniq, _, _ = in_two(h, b.owner[starts])
+                first, _, h = anchors(b.hashes, b.owner, lengths[i], window, b.live_after(row, lengths[:i], window))
+                uniq, _, _ = in_two(h, b.owner[first])
                 yield B.entries(b.uid, uniq, np.arange(len(uniq)), None, parts)
 
         return send
@@ -156,7 +165,7 @@ def substring_dedup(
         live = b.live_after(row, lengths[:-1], window)
         starts = np.flatnonzero(live)
         starts = starts[~b.copy[b.owner[starts]]]
-        uniq, inverse = np.unique(B.window_hashes(b.hashes, window)[starts], return_inverse=True)
+        uniq, inverse = np.unique(B.mixed(B.window_hashes(b.hashes, window)[starts]), return_inverse=True)
         least_id = np.full(len(uniq), np.iinfo(np.int64).max)
         np.minimum.at(least_id, inverse, b.ids[b.owner[starts]])
         return starts, uniq, inverse, least_id

@@ -36,41 +36,38 @@ ANCHOR = 16
 STRETCH = "part int, uid long, refs binary, lengths binary, owners binary, blob binary"
 
 
-def suffix_array(text: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
-    """The order of the suffixes that begin at ``starts``, by their first ``window`` bytes."""
+def suffix_array(text: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes that begin at ``starts``, by their first ``window`` bytes, and the common prefixes.
+
+    The common prefix of a place with the one before is told as ``window`` if it reaches
+    that, else as 0: shorter ones decide nothing.
+    """
     # Of one length, strings that differ only in final zero bytes, which this type drops, are equal.
     keys = np.lib.stride_tricks.sliding_window_view(text, window)[starts].view(f"S{window}").ravel()
-    return np.argsort(keys)
-
-
-def common_prefixes(text: np.ndarray, starts: np.ndarray, order: np.ndarray, window: int) -> np.ndarray:
-    """For each place in suffix order, the common prefix with the place before, up to ``window``."""
-    out = np.zeros(len(order), np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(text, window)
-    for at in range(1, len(order), 1 << 18):
-        a, b = order[at - 1 : at - 1 + (1 << 18)], order[at : at + (1 << 18)]
-        differs = view[starts[a[: len(b)]]] != view[starts[b]]
-        out[at : at + len(b)] = np.where(differs.any(axis=1), differs.argmax(axis=1), window)
-    return out
+    order = np.argsort(keys)
+    keys = keys[order]
+    lcp = np.zeros(len(order), np.int64)
+    lcp[1:][keys[1:] == keys[:-1]] = window
+    return order, lcp
 
 
 def longest_previous_factors(owner: np.ndarray, lcp: np.ndarray, window: int) -> np.ndarray:
     """For each place in suffix order, ``window`` if a smaller owner has a factor that long, else 0.
 
-    Among neighbours whose common prefixes all reach the window, the previous smaller owner
-    exists where the least owner before is smaller, and the next one likewise; beyond such a
-    run every common prefix is shorter, so no other owner matters.
+    ``owner`` is a dense rank of document ids.  Among neighbours whose common prefixes all
+    reach the window, the previous smaller owner exists where the least owner before is
+    smaller, and the next one likewise; beyond such a run every common prefix is shorter, so
+    no other owner matters.
     """
     if not len(owner):
         return owner
     run = np.cumsum(lcp < window)
-    rank = np.unique(owner, return_inverse=True)[1].astype(np.int64)
-    span = int(rank.max()) + 1
+    span = int(owner.max()) + 1
     # Later runs lie lower, so that a running least never looks into the run before.
-    forward = np.minimum.accumulate(rank - run * span) + run * span
+    forward = np.minimum.accumulate(owner - run * span) + run * span
     back_run = run[-1] - run
-    backward = (np.minimum.accumulate((rank - back_run * span)[::-1]))[::-1] + back_run * span
-    return np.where((forward < rank) | (backward < rank), window, 0)
+    backward = (np.minimum.accumulate((owner - back_run * span)[::-1]))[::-1] + back_run * span
+    return np.where((forward < owner) | (backward < owner), window, 0)
 
 
 class ByteBlock(B.Block):
@@ -85,15 +82,11 @@ class ByteBlock(B.Block):
 
     def stretches(self, row: dict, anchor: int, window: int):
         """Of documents that are no copies: start and number of the windows of each shared anchor, and its hash."""
-        starts, at, h = self.anchors(anchor, window)
-        uniq, inverse, alive = in_two(h, self.owner[starts])
+        first, n, h = self.anchors(anchor, window)
+        _, inverse, alive = in_two(h, self.owner[first])
         alive[refs(row["a0"])] = True
-        keep = alive[inverse] & ~self.copy[self.owner[starts]]
-        starts, at, h = starts[keep], at[keep], h[keep]
-        new = np.ones(len(starts), bool)
-        new[1:] = (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)
-        first = np.flatnonzero(new)
-        return starts[first], np.diff(np.append(first, len(starts))), h[first]
+        keep = alive[inverse] & ~self.copy[self.owner[first]]
+        return first[keep], n[keep], h[keep]
 
     def distinct(self, row: dict, anchor: int, window: int):
         """Stretches, each one's index among the distinct, and of those: the text, the hash and the smallest id here."""
@@ -124,8 +117,9 @@ def later_copies(sent: DataFrame, window: int) -> DataFrame:
         stretch = B.group_rows(n_windows)
         inside = np.arange(len(stretch)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
         starts = begins[stretch] + inside
-        order = suffix_array(text, starts, window)
-        lpf = longest_previous_factors(owner[stretch[order]], common_prefixes(text, starts, order, window), window)
+        order, lcp = suffix_array(text, starts, window)
+        rank = np.unique(owner, return_inverse=True)[1].astype(np.int64)
+        lpf = longest_previous_factors(rank[stretch[order]], lcp, window)
         later = np.zeros(len(starts), bool)
         later[order] = lpf >= window
         at = np.flatnonzero(later)
@@ -168,8 +162,8 @@ def suffix_dedup(
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in B.rows_of(batches):
             b = ByteBlock(row)
-            starts, _, h = b.anchors(anchor, window)
-            uniq, _, _ = in_two(h, b.owner[starts])
+            first, _, h = b.anchors(anchor, window)
+            uniq, _, _ = in_two(h, b.owner[first])
             batch = B.entries(b.uid, uniq, np.arange(len(uniq)), None, parts)
             # Half of the hash beside the part: a chance match costs a stretch sent in vain, nothing else.
             short = [(np.frombuffer(x.as_py(), np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in batch.column("hashes")]
