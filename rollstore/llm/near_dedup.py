@@ -10,10 +10,14 @@ confirmed on the full sets.
 
 Work is bounded where many documents share a band.  Documents with equal sets are one
 class from the start.  In a band bucket every class is first compared with the bucket's
-smallest class only; links found that way make components.  What is left are buckets
-whose classes are still in different components, and there only pairs between different
-components are compared.  So a group of thousands of near copies costs one comparison
-each, and no link between different texts is lost.
+most popular class (the one with most company over all its buckets), which of a group of
+near copies is the text that they were made from; links found that way make components.
+What is left are buckets whose classes are still in different components.  There, a
+class's shingles that no other class of these buckets has bound what it can share with
+any, and thereby the sizes of sets that it can be linked with; only pairs of different
+components whose sizes lie within both bounds are compared.  The bound is exact, so no
+link between different texts is lost, and thousands of texts that differ from one in a
+few places each, too many for links among them, make few pairs.
 """
 
 from __future__ import annotations
@@ -191,7 +195,7 @@ class NearDuplicates:
         full = self.sketches.where("digest is not null and _id is not null")
         self.classes = self.scratch.save(full.groupBy("digest").agg(F.min("_id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n")), "classes")
         banded = band_rows(self.classes)
-        shared = banded.groupBy("key").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "least")
+        shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         self.buckets = self.scratch.save(banded.join(shared, "key").distinct(), "buckets")
 
     def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
@@ -201,16 +205,7 @@ class NearDuplicates:
         sides = [of.select(F.col("rep").alias(k), F.col("signature").alias(f"s{k}"), F.col("n").alias(f"n{k}")) for k in "ab"]
         likely = self.scratch.save(promising(pairs.distinct().join(sides[0], "a").join(sides[1], "b"), self.percent / 100), f"{name}-likely")
         wanted = self.scratch.save(likely.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), f"{name}-wanted")
-        texts = self.src.join(small_side(wanted, wanted.count(), 16), "_id")
-
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "_t", CHUNK_BYTES):
-                found = shingle_sets(*utf8(batch.column("_t")))
-                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found]
-                yield pa.RecordBatch.from_pydict({"_id": batch.column("_id"), "digest": pa.array(digests, pa.binary()), "set": pa.array([s.tobytes() for s in found], pa.binary())})
-
-        full = texts.mapInArrow(sets, "_id long, digest binary, set binary")
-        one = self.scratch.save(full.dropDuplicates(["_id", "digest"]) if self.repeated_ids() else full, f"{name}-sets")
+        one = self.scratch.save(self.sets(wanted), f"{name}-sets")
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -240,21 +235,97 @@ class NearDuplicates:
         labels = connected(edges, self.scratch)
         return self.classes.select("rep").distinct().join(labels, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
 
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """(_id, digest, set) of the documents whose ids are in ``wanted`` (_id)."""
+        texts = self.src.join(small_side(wanted, wanted.count(), 16), "_id")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "_t", CHUNK_BYTES):
+                found = shingle_sets(*utf8(batch.column("_t")))
+                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found]
+                yield pa.RecordBatch.from_pydict({"_id": batch.column("_id"), "digest": pa.array(digests, pa.binary()), "set": pa.array([s.tobytes() for s in found], pa.binary())})
+
+        full = texts.mapInArrow(run, "_id long, digest binary, set binary")
+        return full.dropDuplicates(["_id", "digest"]) if self.repeated_ids() else full
+
     def run(self) -> DataFrame:
         """(rep, component) of every class."""
-        star = self.buckets.where("rep != least").select(F.col("least").alias("a"), F.col("rep").alias("b"))
+        popular = self.buckets.groupBy("rep").agg(F.sum("size").alias("company"))
+        centre = self.buckets.join(popular, "rep").groupBy("key").agg(F.max_by("rep", F.struct("company", -F.col("rep"))).alias("centre"))
+        star = self.buckets.join(centre, "key").where("rep != centre").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b"))
         links = self.confirmed(star, "star")
+        if links.isEmpty() and self.buckets.isEmpty():
+            return self.classes.select("rep", F.col("rep").alias("component")).distinct()
         label = self.scratch.save(self.components(links), "label-star")
         # Buckets whose classes are in one component need nothing more.
         placed = self.buckets.select("key", "rep").join(label, "rep")
         mixed_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
         left = self.scratch.save(placed.join(mixed_keys, "key"), "left")
-        x = left.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"))
-        y = left.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-        across = x.join(y, "key").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        if left.isEmpty():
+            return label
+        bound = self.scratch.save(self.bounds(left.select(F.col("rep").alias("_id")).distinct()), "bounds")
+        left = left.join(bound, "rep")
+        x, y = (left.select("key", *(F.col(c).alias(c + k) for c in ("rep", "component", "n", "most"))) for k in "xy")
+        within = F.expr("componentx < componenty and ny <= mostx and nx <= mosty")
+        across = x.join(y, "key").where(within).select(F.least("repx", "repy").alias("a"), F.greatest("repx", "repy").alias("b"))
         more = self.confirmed(across, "across")
+        if more.isEmpty():
+            return label
         return self.scratch.save(self.components(links.unionByName(more)), "label")
 
+    def bounds(self, wanted: DataFrame) -> DataFrame:
+        """(rep, n, most): of each class the size of its set, and the largest set that it can be linked with.
+
+        Of the ``wanted`` classes, a shingle that only one has is shared with none.  If c
+        shingles remain, a partner's set of m shares at most c, so m <= c (100 + p) / p - n.
+        Each task counts its own sets first and sends a shingle once, however many have it.
+        Hashes are cut to 32 bits, beside the part; a chance match only loosens a bound.
+        """
+        wanted = self.scratch.save(wanted, "bounds-wanted")
+        sets = self.scratch.save(self.sets(wanted), "bounds-sets")
+        parts = max(8, int((sets.agg(F.sum(F.length("set"))).first()[0] or 0) >> 23))
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "set", 8 << 20):
+                lists = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("set")]
+                owner = np.repeat(batch.column("_id").to_numpy(), [len(x) for x in lists])
+                uniq, at, inverse, counts = np.unique(np.concatenate(lists), return_index=True, return_inverse=True, return_counts=True)
+                here = counts[inverse] > 1
+                reps, n = np.unique(owner[here], return_counts=True)
+                yield pa.RecordBatch.from_pydict({"part": pa.array([0], pa.int32()), "hashes": pa.array([None], pa.binary()), "owners": pa.array([reps.tobytes()], pa.binary()), "counts": pa.array([n.astype(np.int64).tobytes()], pa.binary())})
+                part = (uniq % np.uint64(parts)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                edges = np.searchsorted(part[order], np.arange(parts + 1))
+                used = np.flatnonzero(edges[1:] > edges[:-1])
+                short = (uniq >> np.uint64(32)).astype(np.uint32)[order]
+                # What is shared within the task is counted already; it goes out without an owner.
+                owners = np.where(counts > 1, np.iinfo(np.int64).min, owner[at])[order]
+                yield pa.RecordBatch.from_pydict({
+                    "part": pa.array(used.astype(np.int32)), "hashes": pa.array([short[edges[p] : edges[p + 1]].tobytes() for p in used], pa.binary()),
+                    "owners": pa.array([owners[edges[p] : edges[p + 1]].tobytes() for p in used], pa.binary()), "counts": pa.array([None] * len(used), pa.binary()),
+                })
+
+        def count(table: pa.Table) -> pa.Table:
+            hashes = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("hashes")])
+            owners = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("owners")])
+            _, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+            reps, n = np.unique(owners[(counts[inverse] > 1) & (owners != np.iinfo(np.int64).min)], return_counts=True)
+            return pa.table({"rep": pa.array(reps), "c": pa.array(n.astype(np.int64))})
+
+        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for o, c in zip(batch.column("owners"), batch.column("counts"), strict=True):
+                    yield pa.RecordBatch.from_pydict({"rep": pa.array(np.frombuffer(o.as_py(), np.int64)), "c": pa.array(np.frombuffer(c.as_py(), np.int64))})
+
+        sent = self.scratch.save(sets.mapInArrow(send, "part int, hashes binary, owners binary, counts binary"), "bounds-sent")
+        local = sent.where("counts is not null").mapInArrow(unpack, "rep long, c long")
+        far = sent.where("counts is null").groupBy("part").applyInArrow(count, "rep long, c long")
+        shared = local.unionByName(far).groupBy("rep").agg(F.sum("c").alias("c"))
+        sizes = sets.groupBy(F.col("_id").alias("rep")).agg(F.max(F.length("set") / 8).cast("long").alias("n"), F.count(F.lit(1)).alias("texts"))
+        most = F.floor(F.coalesce("c", F.lit(0)) * ((100 + self.percent) / self.percent) - F.col("n") + 1e-6)
+        # An id with several texts is left unbounded.
+        return sizes.join(shared, "rep", "left").select("rep", F.when(F.col("texts") > 1, 0).otherwise(F.col("n")).alias("n"), F.when(F.col("texts") > 1, 1 << 60).otherwise(most).cast("long").alias("most"))
+
 
 def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(rep, component) of the nodes of ``edges`` (a, b): each gets its component's least.
@@ -264,7 +335,7 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     logarithmic number of rounds; only edges are shuffled, and each round is written.
     """
     edges = scratch.save(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-0")
-    done, turn = False, 0
+    done, turn = edges.isEmpty(), 0
     while not done:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
