@@ -12,12 +12,13 @@ Work is bounded where many documents share a band.  Documents with equal sets ar
 class from the start.  In a band bucket every class is first compared with the bucket's
 most popular class (the one with most company over all its buckets), which of a group of
 near copies is the text that they were made from; links found that way make components.
-What is left are buckets whose classes are still in different components.  There, a
-class's shingles that no other class of these buckets has bound what it can share with
-any, and thereby the sizes of sets that it can be linked with; only pairs of different
-components whose sizes lie within both bounds are compared.  The bound is exact, so no
-link between different texts is lost, and thousands of texts that differ from one in a
-few places each, too many for links among them, make few pairs.
+What is left are buckets whose classes are still in different components.  There, pairs
+of different components are compared by parity sketches: bit i of a sketch tells whether
+an odd number of the set's hashes fall on i, so the sketches of two sets differ in no more
+bits than the sets differ in shingles.  A pair whose sketches differ in more bits than a
+link allows is no link.  That bound is exact, so no link between different texts is lost,
+and thousands of texts that differ from one in a few places each, too many for links
+among them, make few pairs: comparing two is a few machine words, inside the join.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import mixed, word_hashes
@@ -41,6 +42,8 @@ REGISTERS, BAND = 256, 6
 MANTISSA_BITS = 10
 #: Standard errors below the threshold at which a pair is no longer confirmed.
 SLACK = 6.0
+#: 64-bit words of a parity sketch.
+PARITY = 16
 #: Bytes of text hashed at once.
 CHUNK_BYTES = 2 << 20
 
@@ -106,6 +109,20 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set of hashes, as words: of how many hashes fall on each bit, the last binary digit."""
+    odd = np.bincount((hashes & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
+def differing_bits(x: str, y: str) -> Column:
+    """In how many bits the sketches in the columns of two sides differ: at most as many as their sets differ in shingles."""
+    out = F.bit_count(F.col(f"{x}0").bitwiseXOR(F.col(f"{y}0")))
+    for i in range(1, PARITY):
+        out = out + F.bit_count(F.col(f"{x}{i}").bitwiseXOR(F.col(f"{y}{i}")))
+    return out
+
+
 def chance_collision() -> float:
     """The probability that two unequal registers agree: equal zeros, then equal mantissa."""
     return sum(0.25 ** (z + 1) for z in range(64)) / (1 << MANTISSA_BITS)
@@ -122,18 +139,19 @@ def bands() -> list[tuple[int, int]]:
     return [(i, i + BAND) for i in range(0, REGISTERS - BAND + 1, BAND)]
 
 
-SKETCH = "_id long, n_shingles long, digest binary, signature binary"
+SKETCH = "_id long, n_shingles long, digest binary, signature binary, " + ", ".join(f"p{i} long" for i in range(PARITY))
 
 
 def sketches(src: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_t", CHUNK_BYTES):
             sets = shingle_sets(*utf8(batch.column("_t")))
+            bits = np.stack([parity(s) for s in sets])
             yield pa.RecordBatch.from_pydict({
                 "_id": batch.column("_id"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                 "digest": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                 "signature": pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
-            })
+            } | {f"p{i}": pa.array(bits[:, i]) for i in range(PARITY)})
 
     return src.mapInArrow(run, SKETCH)
 
@@ -193,10 +211,12 @@ class NearDuplicates:
         self.src = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_t"))
         self.sketches = self.scratch.save(sketches(self.src), "sketches")
         full = self.sketches.where("digest is not null and _id is not null")
-        self.classes = self.scratch.save(full.groupBy("digest").agg(F.min("_id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n")), "classes")
+        self.classes = self.scratch.save(full.groupBy("digest").agg(F.min("_id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"), *(F.first(f"p{i}").alias(f"p{i}") for i in range(PARITY))), "classes")
         banded = band_rows(self.classes)
         shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        self.buckets = self.scratch.save(banded.join(shared, "key").distinct(), "buckets")
+        # A class has a key once: the band's number is in it.  Only an id with several texts may have it twice.
+        buckets = banded.join(shared, "key")
+        self.buckets = self.scratch.save(buckets.distinct() if self.repeated_ids() else buckets, "buckets")
 
     def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
         """The distinct pairs (a, b) of classes that reach the threshold on their full sets."""
@@ -263,69 +283,17 @@ class NearDuplicates:
         left = self.scratch.save(placed.join(mixed_keys, "key"), "left")
         if left.isEmpty():
             return label
-        bound = self.scratch.save(self.bounds(left.select(F.col("rep").alias("_id")).distinct()), "bounds")
-        left = left.join(bound, "rep")
-        x, y = (left.select("key", *(F.col(c).alias(c + k) for c in ("rep", "component", "n", "most"))) for k in "xy")
-        within = F.expr("componentx < componenty and ny <= mostx and nx <= mosty")
-        across = x.join(y, "key").where(within).select(F.least("repx", "repy").alias("a"), F.greatest("repx", "repy").alias("b"))
+        left = left.join(self.classes.select("rep", "n", *(f"p{i}" for i in range(PARITY))), "rep")
+        x, y = (left.select("key", *(F.col(c).alias(k + c) for c in ("rep", "component", "n")), *(F.col(f"p{i}").alias(f"{k}{i}") for i in range(PARITY))) for k in "xy")
+        # Sets of n and m shingles are linked if they share at least (n + m) p / (100 + p).
+        apart = F.expr(f"xn + yn - 2 * ceil((xn + yn) * {self.percent} / {100 + self.percent} - 1e-9)")
+        near = F.expr(f"xcomponent < ycomponent and 100 * least(xn, yn) >= {self.percent} * greatest(xn, yn)") & (differing_bits("x", "y") <= apart)
+        across = x.join(y, (x["key"] == y["key"]) & near).select(F.least("xrep", "yrep").alias("a"), F.greatest("xrep", "yrep").alias("b"))
         more = self.confirmed(across, "across")
         if more.isEmpty():
             return label
         return self.scratch.save(self.components(links.unionByName(more)), "label")
 
-    def bounds(self, wanted: DataFrame) -> DataFrame:
-        """(rep, n, most): of each class the size of its set, and the largest set that it can be linked with.
-
-        Of the ``wanted`` classes, a shingle that only one has is shared with none.  If c
-        shingles remain, a partner's set of m shares at most c, so m <= c (100 + p) / p - n.
-        Each task counts its own sets first and sends a shingle once, however many have it.
-        Hashes are cut to 32 bits, beside the part; a chance match only loosens a bound.
-        """
-        wanted = self.scratch.save(wanted, "bounds-wanted")
-        sets = self.scratch.save(self.sets(wanted), "bounds-sets")
-        parts = max(8, int((sets.agg(F.sum(F.length("set"))).first()[0] or 0) >> 23))
-
-        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "set", 8 << 20):
-                lists = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("set")]
-                owner = np.repeat(batch.column("_id").to_numpy(), [len(x) for x in lists])
-                uniq, at, inverse, counts = np.unique(np.concatenate(lists), return_index=True, return_inverse=True, return_counts=True)
-                here = counts[inverse] > 1
-                reps, n = np.unique(owner[here], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"part": pa.array([0], pa.int32()), "hashes": pa.array([None], pa.binary()), "owners": pa.array([reps.tobytes()], pa.binary()), "counts": pa.array([n.astype(np.int64).tobytes()], pa.binary())})
-                part = (uniq % np.uint64(parts)).astype(np.int32)
-                order = np.argsort(part, kind="stable")
-                edges = np.searchsorted(part[order], np.arange(parts + 1))
-                used = np.flatnonzero(edges[1:] > edges[:-1])
-                short = (uniq >> np.uint64(32)).astype(np.uint32)[order]
-                # What is shared within the task is counted already; it goes out without an owner.
-                owners = np.where(counts > 1, np.iinfo(np.int64).min, owner[at])[order]
-                yield pa.RecordBatch.from_pydict({
-                    "part": pa.array(used.astype(np.int32)), "hashes": pa.array([short[edges[p] : edges[p + 1]].tobytes() for p in used], pa.binary()),
-                    "owners": pa.array([owners[edges[p] : edges[p + 1]].tobytes() for p in used], pa.binary()), "counts": pa.array([None] * len(used), pa.binary()),
-                })
-
-        def count(table: pa.Table) -> pa.Table:
-            hashes = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("hashes")])
-            owners = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("owners")])
-            _, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-            reps, n = np.unique(owners[(counts[inverse] > 1) & (owners != np.iinfo(np.int64).min)], return_counts=True)
-            return pa.table({"rep": pa.array(reps), "c": pa.array(n.astype(np.int64))})
-
-        def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for o, c in zip(batch.column("owners"), batch.column("counts"), strict=True):
-                    yield pa.RecordBatch.from_pydict({"rep": pa.array(np.frombuffer(o.as_py(), np.int64)), "c": pa.array(np.frombuffer(c.as_py(), np.int64))})
-
-        sent = self.scratch.save(sets.mapInArrow(send, "part int, hashes binary, owners binary, counts binary"), "bounds-sent")
-        local = sent.where("counts is not null").mapInArrow(unpack, "rep long, c long")
-        far = sent.where("counts is null").groupBy("part").applyInArrow(count, "rep long, c long")
-        shared = local.unionByName(far).groupBy("rep").agg(F.sum("c").alias("c"))
-        sizes = sets.groupBy(F.col("_id").alias("rep")).agg(F.max(F.length("set") / 8).cast("long").alias("n"), F.count(F.lit(1)).alias("texts"))
-        most = F.floor(F.coalesce("c", F.lit(0)) * ((100 + self.percent) / self.percent) - F.col("n") + 1e-6)
-        # An id with several texts is left unbounded.
-        return sizes.join(shared, "rep", "left").select("rep", F.when(F.col("texts") > 1, 0).otherwise(F.col("n")).alias("n"), F.when(F.col("texts") > 1, 1 << 60).otherwise(most).cast("long").alias("most"))
-
 
 def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(rep, component) of the nodes of ``edges`` (a, b): each gets its component's least.

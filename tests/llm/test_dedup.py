@@ -54,6 +54,52 @@ def test_near_chain_beyond_the_bucket_minimum(spark):
     assert rows(near_dedup.near_dedup(df), "doc_id", "n_shingles", "component_id", "kept") == brute.near(data)
 
 
+def test_near_group_without_links(spark):
+    """Hundreds of texts made from one, most of them linked to few others: no link is lost, few pairs are made."""
+    import random
+
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(70)]
+    data = [(0, " ".join(base))]
+    for k in range(1, 300):
+        gone = set(rng.sample(range(70), 2))
+        data.append((k, " ".join(f"x{k}" if i in gone and k % 3 else w for i, w in enumerate(base) if not (i in gone and k % 3 == 0))))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    expected = brute.near(data)
+    assert 20 < sum(r[3] for r in expected) < 290
+    assert rows(near_dedup.near_dedup(df), "doc_id", "n_shingles", "component_id", "kept") == expected
+
+
+def test_parity_never_exceeds_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n in (1, 7, 60, 400, 3000):
+        common = rng.integers(0, 2**64, n, dtype=np.uint64)
+        for d in (0, 1, 5, 40, 300):
+            other = rng.integers(0, 2**64, d, dtype=np.uint64)
+            x, y = np.unique(common), np.unique(np.concatenate([common[d // 2 :], other]))
+            differ = int(np.bitwise_count((near_dedup.parity(x) ^ near_dedup.parity(y)).view(np.uint64)).sum())
+            assert differ <= len(np.setxor1d(x, y)) and (differ > 0 or len(np.setxor1d(x, y)) % 2 == 0)
+
+
+def test_bands_and_estimate_keep_pairs_at_the_threshold():
+    """Of pairs exactly at the threshold none lacks a shared band, and the estimate rejects none."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for union in (7, 20, 60, 150, 400):
+        common = -(-85 * union // 100)
+        for _ in range(200):
+            u = rng.integers(0, 2**64, union, dtype=np.uint64)
+            cut = common + (union - common) // 2
+            x, y = np.sort(u[:cut]), np.sort(np.concatenate([u[:common], u[cut:]]))
+            a, b = near_dedup.signature(x), near_dedup.signature(y)
+            assert any((a[i:j] == b[i:j]).all() for i, j in near_dedup.bands())
+            own = near_dedup.REGISTERS * -np.expm1(-min(len(x), len(y)) / near_dedup.REGISTERS)
+            assert (a == b).sum() >= near_dedup.least_agreement(0.85, np.array([own]))[0]
+
+
 def test_signature_estimates():
     import numpy as np
 
