@@ -18,7 +18,8 @@ from .engine import Engine
 def open_engine(spark: SparkSession, config: dict) -> Engine:
     engine = Engine(spark, path=config.get("path"))
     for cfg in config.get("tables", []):
-        engine.create_table(cfg, spark.read.parquet(cfg["parquet"]) if "parquet" in cfg else None)
+        if cfg["name"] not in engine.tables:
+            engine.create_table(cfg, spark.read.parquet(cfg["parquet"]) if "parquet" in cfg else None)
     return engine
 
 

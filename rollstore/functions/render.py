@@ -7,7 +7,6 @@ from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def text(value, is_float32: bool = False) -> str:
@@ -47,8 +46,3 @@ def lines(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"value": pa.array(["\t".join(r) for r in zip(*columns, strict=True)], pa.string())})
 
     return df.mapInArrow(run, "value string")
-
-
-def as_text(df: DataFrame) -> DataFrame:
-    """Columns cast to strings in the plan, for consumers that need no C form of doubles."""
-    return df.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in df.columns))

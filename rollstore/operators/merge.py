@@ -9,6 +9,26 @@ from ..schema import COUNT, SEQ, Metric, TableSpec
 from ..types import col
 
 
+#: Bits of a piece of a 64-bit number: sums of pieces hold for two trillion rows.
+PIECE = 22
+
+
+def wrapping_sum(c: Column) -> Column:
+    """The sum of 64-bit integers modulo 2^64, as fixed-width arithmetic leaves it, where a plain sum would fail.
+
+    The number is cut into three pieces, which are summed apart and put together with carries.
+    """
+    mask = F.lit((1 << PIECE) - 1)
+    low, middle = F.sum(c.bitwiseAND(mask)), F.sum(F.shiftright(c, PIECE).bitwiseAND(mask))
+    middle = middle + F.shiftright(low, PIECE)
+    high = F.sum(F.shiftright(c, 2 * PIECE)) + F.shiftright(middle, PIECE)
+    return F.shiftleft(high, 2 * PIECE).bitwiseOR(F.shiftleft(middle.bitwiseAND(mask), PIECE)).bitwiseOR(low.bitwiseAND(mask))
+
+
+def total(m: Metric, c: Column) -> Column:
+    return wrapping_sum(c) if m.num.name == "long" else F.sum(c)
+
+
 def initial(m: Metric) -> Column:
     """The state of a group of records."""
     c = col(m.name)
@@ -18,7 +38,7 @@ def initial(m: Metric) -> Column:
         case "bitset":
             out = F.collect_set(c.cast(m.num.spark))
         case "sum" | "avg":
-            out = F.coalesce(F.sum(c.cast(m.num.wide)), F.lit(0)).cast(m.num.wide)
+            out = F.coalesce(total(m, c.cast(m.num.wide)), F.lit(0)).cast(m.num.wide)
         case "min":
             out = F.min(c)
         case _:
@@ -30,8 +50,10 @@ def merged(m: Metric) -> Column:
     """The state of a group of states."""
     c = col(m.name)
     match m.agg:
-        case "count" | "sum" | "avg":
+        case "count":
             out = F.sum(c).cast(m.state)
+        case "sum" | "avg":
+            out = total(m, c).cast(m.state)
         case "bitset":
             out = F.array_distinct(F.flatten(F.collect_list(c)))
         case "min":

@@ -57,6 +57,23 @@ def literal(c: Dimension | Metric, text: str) -> Column:
     return _number(value, c.num)
 
 
+def stored_text(c: Dimension | Metric, text: str) -> str | None:
+    """The text of the stored value that a literal equals, as a cast to string gives it; None if it isn't known here.
+
+    Floating-point values print in more than one way, so they have none.
+    """
+    if not isinstance(text, str) or isinstance(c, Metric):
+        return None
+    match c.kind:
+        case "string":
+            return text
+        case "boolean":
+            return "true" if text == "true" else "false"
+        case "time":
+            return str(timeops.literal(text, c.micro))
+    return None if c.num.is_float else str(c.num.parse(text))
+
+
 def build(f: dict | None, spec: TableSpec, value: Callable[[str], Column]) -> Column | None:
     """The predicate; ``value`` gives the Column that stands for a name.  None for an empty filter."""
     if not f:

@@ -67,17 +67,20 @@ def is_metric(spec: TableSpec, name: str) -> bool:
     return isinstance(spec.column(name), Metric)
 
 
-def source(spec: TableSpec, deltas: DataFrame, f: dict | None, need: list[str], *, full: bool, seq: bool) -> DataFrame:
-    """Rows that pass the filter: stored rows if ``full`` or if it tests metrics, else deltas (which still merge)."""
+def source(spec: TableSpec, deltas: DataFrame, f: dict | None, need: list[str], *, full: bool, seq: bool, merged: bool) -> DataFrame:
+    """Rows that pass the filter: stored rows if ``full`` or if it tests metrics, else deltas (which still merge).
+
+    Deltas that are ``merged`` have one row a key already: those are the stored rows.
+    """
     mentioned = filters.columns(f)
     on_metrics = {n for n in mentioned if is_metric(spec, n)}
-    if not on_metrics and not full:
+    if not on_metrics and (not full or merged):
         p = filters.build(f, spec, col)
         return deltas if p is None else deltas.where(p)
     if not on_metrics:
         p = filters.build(f, spec, col)
         return merge.stored_rows(spec, deltas if p is None else deltas.where(p), need, seq)
-    rows = merge.stored_rows(spec, deltas, [*need, *on_metrics], seq)
+    rows = deltas if merged else merge.stored_rows(spec, deltas, [*need, *on_metrics], seq)
     finished = {n: merge.finished(spec, spec.column(n)) for n in on_metrics}
     return rows.where(filters.build(f, spec, lambda n: finished.get(n, col(n))))
 
@@ -102,7 +105,7 @@ def page(df: DataFrame, q: dict) -> DataFrame:
     return df.limit(limit) if limit else df
 
 
-def aggregate(spec: TableSpec, deltas: DataFrame, q: dict, now: int) -> DataFrame:
+def aggregate(spec: TableSpec, deltas: DataFrame, q: dict, now: int, merged: bool = False) -> DataFrame:
     """Filter, group by the selected dimensions, having, sort, skip and limit."""
     items = selected(spec, q)
     names = [i.name for i in items]
@@ -119,7 +122,7 @@ def aggregate(spec: TableSpec, deltas: DataFrame, q: dict, now: int) -> DataFram
     need = [m.name for m in metrics]
     if any(m.agg == "avg" for m in metrics) and spec.count_column != COUNT and spec.count_column not in need:
         need.append(spec.count_column)
-    rows = source(spec, deltas, q.get("filter"), need, full=False, seq=False)
+    rows = source(spec, deltas, q.get("filter"), need, full=False, seq=False, merged=merged)
     keys = [key(i, now) for i in dims]
     if not metrics:
         out = rows.select(*keys).distinct()
@@ -167,24 +170,24 @@ def grouped(spec: TableSpec, rows: DataFrame, keys: list[Column], names: list[st
     return out.select(*map(col, names), *final)
 
 
-def select(spec: TableSpec, deltas: DataFrame, q: dict, now: int) -> DataFrame:
-    """Stored rows in order of arrival."""
+def select(spec: TableSpec, deltas: DataFrame, q: dict, now: int, merged: bool = False) -> DataFrame:
+    """Stored rows in order of arrival; a table over a DataFrame (``arrival`` false) has none, and isn't sorted."""
     items = selected(spec, q)
     metrics = [i.column for i in items if isinstance(i.column, Metric)]
     need = [m.name for m in metrics]
     if any(m.agg == "avg" for m in metrics) and spec.count_column != COUNT:
         need.append(spec.count_column)
-    rows = source(spec, deltas, q.get("filter"), need, full=True, seq=True)
-    out = page(rows.orderBy(SEQ), q)
+    rows = source(spec, deltas, q.get("filter"), need, full=True, seq=True, merged=merged)
+    out = page(rows.orderBy(SEQ) if q.get("arrival", True) else rows, q)
     return out.select(*(shown(i) if isinstance(i.column, Dimension) else merge.finished(spec, i.column) for i in items))
 
 
-def search(spec: TableSpec, deltas: DataFrame, q: dict, now: int) -> DataFrame:
+def search(spec: TableSpec, deltas: DataFrame, q: dict, now: int, merged: bool = False) -> DataFrame:
     """Distinct values of a dimension that contain the term."""
     d = spec.column(q["dimension"])
     if not isinstance(d, Dimension):
         raise ValueError(f"Column '{d.name}' is not a dimension")
-    rows = source(spec, deltas, q.get("filter"), [], full=False, seq=False)
+    rows = source(spec, deltas, q.get("filter"), [], full=False, seq=False, merged=merged)
     text = col(d.name).cast("string").alias(d.name)
     # The term is tested before values are made distinct, so that others are never shuffled.
     return page(rows.select(text).where(F.contains(col(d.name), F.lit(q["term"]))).distinct(), {"limit": q.get("limit", 0)})

@@ -45,7 +45,11 @@ def tsv(spark: SparkSession, path: str | list[str], width: int | None, batch: in
     read = spark.read.option("lineSep", "\n")
     if recursive:
         read = read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{tsv,csv,gz}")
-    lines = read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    return fields_of(read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start"), width, batch)
+
+
+def fields_of(lines: DataFrame, width: int | None, batch: int) -> DataFrame:
+    """(f, seq) of lines with their file and place; a row that is too long or has too many fields fails the job."""
     seq = F.struct(F.lit(batch).alias("b"), F.col("file_path").alias("f"), F.col("file_block_start").alias("o"), F.monotonically_increasing_id().alias("n"))
     long = F.raise_error(F.lit("row is too long")).cast("array<string>")
     fields = F.when(F.octet_length("value") > MAX_ROW, long).otherwise(F.split("value", "\t", -1))

@@ -84,3 +84,86 @@ def test_text_forms(spark):
     assert [render.text(v) for v in (1, 1.0, 0.1, 1e21, True, None, 1 / 3)] == ["1", "1", "0.1", "1e+21", "true", "", "0.333333333333333"]
     df = spark.createDataFrame([("a", 1.5, 2), ("b", 2.0, 3)], "k string, x double, n int")
     assert [r[0] for r in render.lines(df).collect()] == ["a\t1.5\t2", "b\t2\t3"] == [s.strip() for s in render.tsv(df)]
+
+
+def test_reopened_tables(spark, tmp_path):
+    """An engine that is lost leaves its tables: deltas, admitted values, batch numbers."""
+    cfg = {"name": "a b", "dimensions": [{"name": "k", "cardinality": 2}, {"name": "n", "type": "int"}], "metrics": [COUNT], "partitioning": {"columns": ["n"], "total": 4}}
+    e = Engine(spark, {"tables": [cfg, INAPP]}, path=str(tmp_path))
+    e.load_rows("a b", [["x", "1"], ["y", "2"], ["z", "3"]])
+    e.mark(["a b"], {"micro": 9})
+    e = Engine(spark, path=str(tmp_path))
+    assert sorted(e.tables) == ["a b", "events"] and e.last_batch_id == 9 and e.last_historic_id == 0
+    e.load_rows("a b", [["x", "1"], ["w", "2"]])
+    q = {"type": "select", "table": "a b", "dimensions": ["k", "n"], "metrics": ["count"]}
+    expected = ["__exceeded 2 1", "__exceeded 3 1", "x 1 2", "y 2 1"]
+    assert sorted(got(e, q)) == expected
+    e.compact("a b")
+    e = Engine(spark, {"tables": [cfg, INAPP]}, path=str(tmp_path))
+    assert sorted(got(e, q)) == expected and e.table("a b").is_merged
+    assert got(e, q | {"filter": {"op": "eq", "column": "n", "value": "03"}}) == ["__exceeded 3 1"]
+    with pytest.raises(ValueError, match="another definition"):
+        Engine(spark, {"tables": [cfg | {"metrics": []}]}, path=str(tmp_path))
+    e.drop_table("a b")
+    assert sorted(Engine(spark, path=str(tmp_path)).tables) == ["events"]
+
+
+def test_watched_folder_after_a_restart(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k in range(3):
+        (folder / f"{k}.tsv").write_text(TEXT)
+        e = Engine(spark, {"tables": [INAPP]}, path=str(tmp_path / "tables"))
+        watch.watch(e, "events", str(folder), str(tmp_path / "checkpoint"), trigger={"availableNow": True}).awaitTermination()
+        assert got(e, "SELECT count FROM events") == [str(3 * (k + 1))]
+    # A batch that ran but was not committed to the checkpoint runs again, and is not loaded twice.
+    last = max((tmp_path / "checkpoint" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()
+    last.with_name(f".{last.name}.crc").unlink()
+    e = Engine(spark, path=str(tmp_path / "tables"))
+    watch.watch(e, "events", str(folder), str(tmp_path / "checkpoint"), trigger={"availableNow": True}).awaitTermination()
+    assert got(e, "SELECT count FROM events") == ["9"]
+    (folder / "bad.tsv").write_text("US\tx\t1\t2.0\t3\t4\n")
+    with pytest.raises(Exception, match="too big"):
+        watch.watch(e, "events", str(folder), str(tmp_path / "checkpoint"), trigger={"availableNow": True}).awaitTermination()
+    assert got(e, "SELECT count FROM events") == ["9"]
+
+
+def test_watch_option(spark, tmp_path):
+    e = Engine(spark, {"tables": [INAPP | {"watch": {"directory": str(tmp_path / "in"), "extensions": [".tsv", ".txt"]}}]}, path=str(tmp_path / "tables"))
+    (tmp_path / "in" / "a.txt").write_text(TEXT)
+    e.table("events").stream.processAllAvailable()
+    e.stop()
+    assert got(e, "SELECT count FROM events") == ["3"]
+
+
+def test_one_scan_and_no_needless_merge(spark):
+    e = Engine(spark, {"tables": [INAPP]})
+    for k in range(5):
+        e.load_rows("events", [["US", "sale", "1", str(k)]])
+    plan = lambda q: e.sql(q)._jdf.queryExecution().executedPlan().toString()
+    q = "SELECT country, count FROM events WHERE count > 1"
+    assert plan(q).count("FileScan") == 1
+    before = plan(q).count("Exchange")
+    e.compact("events")
+    assert plan(q).count("Exchange") == before - 1 and got(e, q) == ["US 5"]
+
+
+def test_compaction_by_itself(spark, monkeypatch):
+    from rollstore import engine
+
+    monkeypatch.setattr(engine, "COMPACT_AT", 3)
+    e = Engine(spark, {"tables": [INAPP]})
+    for k in range(7):
+        e.load_rows("events", [["US", "sale", "1", str(k)]])
+    assert len(e.table("events").deltas) < 3 and got(e, "SELECT count, revenue FROM events") == ["7 21"]
+    assert e.loads[-1].stored_recs == 1 and e.loads[-1].lines()[1] == "load.events.rows:1|c"
+
+
+def test_wrapping_sums(spark):
+    cfg = {"name": "t", "dimensions": [{"name": "k"}], "metrics": [{"name": "s", "type": "long_sum"}]}
+    e = Engine(spark, {"tables": [cfg]})
+    most = str(2**63 - 1)
+    e.load_rows("t", [["a", most], ["a", most], ["b", "-5"], ["b", "3"], ["c", str(-(2**63))]])
+    e.load_rows("t", [["a", "1"], ["c", "-1"], ["b", "-9000000000000000000"]])
+    assert sorted(got(e, "SELECT k, s FROM t")) == ["a -1", "b -9000000000000000002", f"c {most}"]
