@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from ..schema import EXCEEDED, SEQ, Dimension
 from ..types import col
 
-#: Most values of a cap whose table is broadcast; a larger one is joined by shuffle.
-BROADCAST_VALUES = 100_000
+#: Most bytes of admitted values that are broadcast; more are joined by shuffle.
+BROADCAST_BYTES = 8 << 20
+#: Room beyond which new values are counted first: a cap that all of them fit under needs no order.
+COUNTED_ROOM = 10_000
 
 
 def collapsed(d: Dimension) -> Column:
@@ -27,11 +29,16 @@ def newly_capped(rows: DataFrame, d: Dimension, admitted: DataFrame | None, n_ad
     first = rows.groupBy(col(d.name).alias("v")).agg(F.min(SEQ).alias("s"))
     if admitted is not None:
         first = first.join(admitted, "v", "left_anti")
-    return first.where(F.col("v") != EXCEEDED).orderBy("s").limit(max(0, d.cardinality - n_admitted)).select("v")
+    first = first.where(F.col("v") != EXCEEDED)
+    room = max(0, d.cardinality - n_admitted)
+    if room > COUNTED_ROOM and first.count() <= room:
+        return first.select("v")
+    return first.orderBy("s").limit(min(room, (1 << 31) - 1)).select("v")
 
 
 def capped(rows: DataFrame, d: Dimension, admitted: DataFrame) -> DataFrame:
-    side = F.broadcast(admitted) if d.cardinality <= BROADCAST_VALUES else admitted
+    size = admitted.agg(F.sum(F.octet_length("v") + 32)).first()[0] or 0
+    side = F.broadcast(admitted) if size <= BROADCAST_BYTES else admitted
     known = side.select(F.col("v"), F.lit(True).alias("__in"))
     joined = rows.join(known, col(d.name) == F.col("v"), "left")
     return _replaced(joined, d, rows.columns)

@@ -178,6 +178,15 @@ def test_limits(spark):
     assert got(e, agg(["event_name"], [])) == sorted(["a" * 20, "ü" * 10])
 
 
+def test_wide_caps(spark):
+    """Caps as wide as 32 bits, which all values fit under, and one that is counted first and then exceeded."""
+    cfg = {"name": "events", "dimensions": [{"name": "a", "cardinality": 254}, {"name": "b", "cardinality": 65534}, {"name": "c", "cardinality": 4294967294}, {"name": "d", "cardinality": 4294967296}], "metrics": [COUNT]}
+    assert got(engine(spark, cfg, split(["a b c d"] * 3)), agg(["a", "b", "c", "d"], ["count"])) == ["a b c d 3"]
+    cfg = {"name": "events", "dimensions": [{"name": "m", "cardinality": 20000}], "metrics": [COUNT]}
+    e = engine(spark, cfg, [[str(k)] for k in range(20100)])
+    assert got(e, agg([], ["count"], filter=flt("eq", "m", "__exceeded"))) == ["100"] and got(e, agg(["m"], [], filter=flt("eq", "m", "19999"))) == ["19999"]
+
+
 def test_batches_merge(spark):
     whole = engine(spark, INAPP, split(SORT + BASIC))
     parts = engine(spark, INAPP, split(SORT[:2]), split(SORT[2:]), split(BASIC))
