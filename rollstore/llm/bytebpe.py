@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty
+from .common import prepare, slices, text_or_empty
 
 #: Longer texts are cut; the size of a leaf, in characters.
 LEAF = 1 << 15
@@ -217,7 +217,7 @@ def encode(
     each.  An empty table gives no rows; other columns are ignored.  ``path`` names the
     vocabulary file on every machine.
     """
-    spark = docs.sparkSession
+    prepare(docs.sparkSession)
     extra = (", ids binary" if keep_ids else "") + (", decoded string" if keep_text else "")
     result = "n_tokens long, ids_sha256 string, decoded_sha256 string" + extra
 

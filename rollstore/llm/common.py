@@ -2,31 +2,58 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import contextvars
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Largest size, in bytes, of a side that is broadcast; beyond it the same join shuffles.
 BROADCAST_BYTES = 16 << 20
 
+#: Bytes of a batch of rows that goes to a Python worker, where the session has Spark's default.
+BATCH_BYTES, DEFAULT_BATCH, BATCH_KEY = 4 << 20, 64 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
 #: ASCII white space of the word definition ``[^\x20\x09-\x0D]+``.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package also when only the driver's sys.path has it."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in have:
-        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, have)])
+    """Ships this package to the Python workers, once for each context; operators call it themselves.
+
+    Batches of rows between the JVM and the workers are made smaller than by default, unless
+    the session asks for a size: texts lie in both, so an executor's memory holds several.
+    """
+    sc = spark.sparkContext
+    if int(spark.conf.get(BATCH_KEY).rstrip("b")) == DEFAULT_BATCH:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
+    env = sc.environment
     env.setdefault("TOKENIZERS_PARALLELISM", "false")
     env.setdefault("OMP_NUM_THREADS", "1")
+    if getattr(sc, "_rollstore_shipped", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    # Spark's own file server gives the archive to the workers, from the driver and as long as it lives.
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="rollstore-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = f"{folder}/{os.path.basename(package)}.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for top, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(top, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(package)))
+    sc.addPyFile(path)
+    sc._rollstore_shipped = True
 
 
 def work_root(spark: SparkSession) -> str:
@@ -44,31 +71,68 @@ def work_root(spark: SparkSession) -> str:
     return root
 
 
+#: The scratch folders made inside ``removed_after``.
+_made: contextvars.ContextVar[list[Scratch] | None] = contextvars.ContextVar("made", default=None)
+
+
+@contextlib.contextmanager
+def removed_after() -> Iterator[None]:
+    """Removes the work tables of operators that were called inside: their results must be written by then."""
+    made: list[Scratch] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for scratch in made:
+            scratch.drop("")
+
+
 class Scratch:
     """Parquet tables of one operator run below the shared folder.
 
     A written table is the only lineage cut: a lost executor loses none of it.
-    ``drop`` removes one that is no longer needed.
+    ``drop`` removes one that is no longer needed, ``finish`` all but the result.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        prepare(spark)
         self.base = f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: dict[str, StructType] = {}
+        if (made := _made.get()) is not None:
+            made.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.path(name)
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        self._write(df, name, "overwrite")
+        return self.read(name)
+
+    def append(self, df: DataFrame, name: str) -> None:
+        self._write(df, name, "append")
+
+    def _write(self, df: DataFrame, name: str, mode: str) -> None:
+        self.names[name] = df.schema
+        df.write.mode(mode).option("compression", "zstd").parquet(self.path(name))
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.schema(self.names[name]).parquet(self.path(name))
+
+    def finish(self, df: DataFrame, *more: str) -> DataFrame:
+        """``df``, a narrow result, written; all other tables of this run, and ``more``, are removed."""
+        out = self.save(df, "result")
+        self.drop(*(n for n in list(self.names) if n != "result"), *more)
+        return out
 
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
+            path = jvm.org.apache.hadoop.fs.Path(self.path(name).rstrip("/"))
             path.getFileSystem(conf).delete(path, True)
+            self.names.pop(name, None)
 
 
 def small_side(df: DataFrame, rows: int, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
@@ -76,10 +140,6 @@ def small_side(df: DataFrame, rows: int, row_bytes: int, most: int = BROADCAST_B
     return F.broadcast(df) if rows * row_bytes <= most else df
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 

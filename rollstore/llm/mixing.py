@@ -64,8 +64,9 @@ def mix(
     share: float = 1.5,
     most: float = 2.0,
     seed: int = 9,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per input row: ``id_col``, size, source_size, target, copies, taken.
+    """One row per input row: ``id_col``, size, source_size, target, copies, taken, and the columns named in ``carry``.
 
     ``size`` counts the words of the whole text (null: 0); ``copies`` is how often the mix
     has the document, at most ``most`` rounded up; ``taken`` = copies x size.  A source
@@ -75,7 +76,7 @@ def mix(
     agree: the offset comes from the seed and the source's name.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), *(F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)))
     # Sources as a plain key: a null can't be joined, so it becomes a flag beside an empty string.
     rows = scratch.save(rows.withColumn("_null", F.col("source").isNull()).withColumn("_s", F.coalesce("source", F.lit(""))).withColumn("_b", hex_number(F.coalesce(F.col("_id").cast("string"), F.lit("")), 2)), "sizes")
     key = ["_null", "_s"]
@@ -103,8 +104,9 @@ def mix(
     k = F.col("_base") + F.col("_r")
     copies = (F.floor((k + 1) * rate + offset) - F.floor(k * rate + offset)).cast("long")
     return placed.select(
-        F.col("_id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
-    )
+        F.col("_id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"),
+        *(F.col(f"_carry{i}").alias(c) for i, c in enumerate(carry)),
+    )
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -32,7 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import mixed, word_hashes
-from .common import Scratch, slices, small_side, text_or_empty, utf8
+from .common import Scratch, slices, text_or_empty, utf8
+from .rows import Rows
 
 #: Words in a shingle.
 SHINGLE = 5
@@ -139,7 +140,7 @@ def bands() -> list[tuple[int, int]]:
     return [(i, i + BAND) for i in range(0, REGISTERS - BAND + 1, BAND)]
 
 
-SKETCH = "_id long, n_shingles long, digest binary, signature binary, " + ", ".join(f"p{i} long" for i in range(PARITY))
+SKETCH = "_id long, file long, row long, n_shingles long, digest binary, signature binary, " + ", ".join(f"p{i} long" for i in range(PARITY))
 
 
 def sketches(src: DataFrame) -> DataFrame:
@@ -148,7 +149,7 @@ def sketches(src: DataFrame) -> DataFrame:
             sets = shingle_sets(*utf8(batch.column("_t")))
             bits = np.stack([parity(s) for s in sets])
             yield pa.RecordBatch.from_pydict({
-                "_id": batch.column("_id"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
+                "_id": batch.column("_id"), "file": batch.column("file"), "row": batch.column("row"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                 "digest": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                 "signature": pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
             } | {f"p{i}": pa.array(bits[:, i]) for i in range(PARITY)})
@@ -204,12 +205,12 @@ def promising(pairs: DataFrame, threshold: float) -> DataFrame:
 class NearDuplicates:
     """The steps over one table of documents.  Rows with one id are one node: linked if any of their texts is."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, percent: int):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, percent: int, located: Rows | None = None):
         self.spark = docs.sparkSession
         self.percent = percent
         self.scratch = Scratch(self.spark, "near")
-        self.src = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_t"))
-        self.sketches = self.scratch.save(sketches(self.src), "sketches")
+        self.id_col, self.text_col, self.rows = id_col, text_col, Rows(docs, self.scratch) if located is None else located
+        self.sketches = self.scratch.save(sketches(self.texts(self.rows.df, *self.rows.place())), "sketches")
         full = self.sketches.where("digest is not null and _id is not null")
         self.classes = self.scratch.save(full.groupBy("digest").agg(F.min("_id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n"), *(F.first(f"p{i}").alias(f"p{i}") for i in range(PARITY))), "classes")
         banded = band_rows(self.classes)
@@ -218,6 +219,9 @@ class NearDuplicates:
         buckets = banded.join(shared, "key")
         self.buckets = self.scratch.save(buckets.distinct() if self.repeated_ids() else buckets, "buckets")
 
+    def texts(self, df: DataFrame, *more: Column) -> DataFrame:
+        return df.select(F.col(self.id_col).cast("long").alias("_id"), *more, text_or_empty(self.text_col).alias("_t"))
+
     def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
         """The distinct pairs (a, b) of classes that reach the threshold on their full sets."""
         percent = self.percent
@@ -225,7 +229,7 @@ class NearDuplicates:
         sides = [of.select(F.col("rep").alias(k), F.col("signature").alias(f"s{k}"), F.col("n").alias(f"n{k}")) for k in "ab"]
         likely = self.scratch.save(promising(pairs.distinct().join(sides[0], "a").join(sides[1], "b"), self.percent / 100), f"{name}-likely")
         wanted = self.scratch.save(likely.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), f"{name}-wanted")
-        one = self.scratch.save(self.sets(wanted), f"{name}-sets")
+        one = self.scratch.save(self.sets(wanted, f"{name}-texts"), f"{name}-sets")
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -242,7 +246,7 @@ class NearDuplicates:
 
         with_sets = likely.join(one.select(F.col("_id").alias("a"), F.col("set").alias("sa")), "a").join(one.select(F.col("_id").alias("b"), F.col("set").alias("sb")), "b")
         out = self.scratch.save(with_sets.mapInArrow(check, "a long, b long").distinct(), name)
-        self.scratch.drop(f"{name}-sets", f"{name}-likely", f"{name}-wanted")
+        self.scratch.drop(f"{name}-sets", f"{name}-likely", f"{name}-wanted", f"{name}-texts", f"{name}-texts-masks")
         return out
 
     def repeated_ids(self) -> bool:
@@ -255,9 +259,10 @@ class NearDuplicates:
         labels = connected(edges, self.scratch)
         return self.classes.select("rep").distinct().join(labels, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
 
-    def sets(self, wanted: DataFrame) -> DataFrame:
-        """(_id, digest, set) of the documents whose ids are in ``wanted`` (_id)."""
-        texts = self.src.join(small_side(wanted, wanted.count(), 16), "_id")
+    def sets(self, wanted: DataFrame, name: str) -> DataFrame:
+        """(_id, digest, set) of the documents whose ids are in ``wanted`` (_id); read where the documents lie."""
+        chosen = self.sketches.select("_id", "file", "row").join(wanted, "_id", "left_semi").select("file", "row", F.lit(1).alias("value"))
+        texts = self.rows.decided(chosen, lambda df, v: self.texts(df.where(F.col(v) == 1)), name=name)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "_t", CHUNK_BYTES):
@@ -321,9 +326,11 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return roots.unionByName(edges.select(F.col("b").alias("rep"), F.col("a").alias("component")))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 85) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 85, places: bool = False, located: Rows | None = None) -> DataFrame:
     """One row per input row: ``id_col``, n_shingles, component_id, kept.
 
+    ``places`` adds file and row, as ``Rows`` has them: those of ``located``, if ``docs`` is its table.
+
     Texts are lower-cased (A-Z) and cut into words at 0x20 and 0x09-0x0D; two documents are
     linked if their sets of five-word shingles share at least ``percent`` of their union, by
     exact count over 64-bit hashes.  component_id is the smallest id reachable by links, the
@@ -332,13 +339,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a null id are linked with nothing and kept.  Rows repeated with one id count as
     one document, and each is returned.  An empty table gives no rows; other columns are ignored.
     """
-    near = NearDuplicates(docs, id_col, text_col, percent)
+    near = NearDuplicates(docs, id_col, text_col, percent, located)
     member = near.classes.join(near.run(), "rep").select("digest", "component")
-    rows = near.sketches.select("_id", "n_shingles", "digest").join(member, "digest", "left")
+    rows = near.sketches.select("_id", "n_shingles", "digest", "file", "row").join(member, "digest", "left")
     component = F.when(F.col("_id").isNotNull(), F.coalesce("component", "_id"))
-    return rows.select(
-        F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept")
-    )
+    place = [F.col(c).alias(f"_{c}") for c in ("file", "row")] if places else []
+    found = rows.select("_id", "n_shingles", component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"), *place)
+    out = near.scratch.finish(found)
+    return out.withColumnRenamed("_id", id_col).withColumnsRenamed({"_file": "file", "_row": "row"})
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import word_hashes
-from .common import slices, text_or_empty, utf8
+from .common import prepare, slices, text_or_empty, utf8
 
 #: Labelled rows that a model is fitted on, at most: those with the smallest hash of their id.
 SAMPLE_ROWS = 20_000
@@ -204,6 +204,7 @@ def remainder(id_col: str) -> Column:
 
 def featured(src: DataFrame) -> DataFrame:
     """(_id, x) of (_id, _t)."""
+    prepare(src.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_t", 2 << 20):
@@ -238,6 +239,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     no inputs.  Rows repeated with one id give a row each; an empty table gives no rows;
     other columns are ignored.
     """
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_t", 2 << 20):
@@ -250,6 +252,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text", *, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs``, all columns, whose text the model accepts; decided where they are read."""
+    prepare(docs.sparkSession)
     schema = docs.schema
     at = schema.fieldNames().index(text_col)
 

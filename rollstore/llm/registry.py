@@ -2,15 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bytebpe, common, exact_dedup, license_scan, mixing, near_dedup, quality, substring_dedup, suffix_dedup, token_counts
-
-
-def _ready(f):
-    def run(spark, sf_dir):
-        common.prepare(spark)
-        return f(spark, sf_dir)
-
-    return run
+from . import ann, bytebpe, exact_dedup, license_scan, mixing, near_dedup, quality, substring_dedup, suffix_dedup, token_counts
 
 
 _QUERIES = {
@@ -38,7 +30,7 @@ _SQL = {
 def queries() -> dict:
     import corpus_pipeline
 
-    return {name: _ready(f) for name, f in (_QUERIES | {"pipeline": corpus_pipeline.run}).items()}
+    return _QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .bytebpe import DIGIT, LETTER, vocabulary
 from .common import Scratch, slices, text_or_empty
+from .rows import Rows
 
 #: Characters on whose case, class and composition every Unicode version agrees.
 PLAIN = re.compile(r"[\t\n\v\f\r -~¡-įı-ňŊ-ž]*")
@@ -114,40 +115,47 @@ def count_tokens(
     """One row per input row: ``id_col``, n_bytes, n_tokens, over_limit (n_tokens > ``limit``).
 
     ``cache`` is a folder that driver and executors share; it is made if missing and grows
-    by the distinct contents that it lacked, under this vocabulary file's digest.  A null
+    by the distinct contents that it lacked, under this vocabulary file's digest.  Digests
+    meet the cache; of the contents that it lacks, one row each is marked, and encoded where
+    it lies, so that copies, however many, are encoded once and no text is shuffled.  A null
     text counts as empty: 0 bytes.  ``normalise`` (a Column function) may map texts of one
-    count to one content.  Copies, however many, meet in each task before the shuffle and
-    are encoded once.  Rows repeated with one id give a row each.  An empty table gives no
-    rows.  Other columns are ignored.  Two runs that append the same content at one time
+    count to one content.  Rows repeated with one id give a row each.  An empty table gives
+    no rows.  Other columns are ignored.  Two runs that append the same content at one time
     are harmless: the counts are equal and are read once.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark, "tokens")
     version = file_digest(path)
-    content = text_or_empty(text_col) if normalise is None else F.coalesce(normalise(F.col(text_col)), F.lit(""))
-    src = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_raw"), content.alias("_t"))
-    keyed = src.select("_id", F.octet_length("_raw").cast("long").alias("n_bytes"), F.unhex(F.sha2("_t", 256)).alias("content"))
-    texts = src.select(F.unhex(F.sha2("_t", 256)).alias("content"), "_t")
+    rows = Rows(docs, scratch)
+    whole = text_or_empty(text_col)
+    content = whole if normalise is None else F.coalesce(normalise(F.col(text_col)), F.lit(""))
+    digest = F.unhex(F.sha2(content, 256)).alias("content")
+    keyed = scratch.save(rows.df.select(F.col(id_col).alias("_id"), F.octet_length(whole).cast("long").alias("n_bytes"), digest, *rows.place()), "digests")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for batch in slices(batches, "_t", 2 << 20):
             yield pa.RecordBatch.from_pydict({"content": batch.column("content"), "n_tokens": pa.array(c.count(batch.column("_t").to_pylist()), pa.int64())})
 
-    schema = "content binary, tokenizer string, n_tokens long"
+    schema = "content binary, n_tokens long, tokenizer string"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
     exists = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
     def known() -> DataFrame:
-        rows = spark.read.schema(schema).parquet(cache).where(F.col("tokenizer") == version)
-        return rows.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-
-    misses = texts.join(known().select("content"), "content", "left_anti") if exists else texts
-    distinct = misses.groupBy("content").agg(F.first("_t").alias("_t"))
-    found = distinct.mapInArrow(count, "content binary, n_tokens long")
-    found.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
-    return keyed.join(known(), "content").select(
-        F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
-    )
+        found = spark.read.schema(schema).parquet(cache).where(F.col("tokenizer") == version)
+        return found.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+
+    first = keyed.groupBy("content").agg(F.min(F.struct("file", "row")).alias("first"))
+    misses = first.join(known().select("content"), "content", "left_anti") if exists else first
+    marked = misses.select("first.file", "first.row", F.lit(1).alias("value"))
+    texts = rows.decided(marked, lambda df, v: df.where(F.col(v) == 1).select(digest, content.alias("_t")), name="misses")
+    found = texts.mapInArrow(count, "content binary, n_tokens long").withColumn("tokenizer", F.lit(version))
+    # Laid out by vocabulary, so that a run reads the counts of its own.
+    found.write.mode("append").partitionBy("tokenizer").parquet(cache)
+    # Unique by content and read from a table, so that the rows of a hot content can be split.
+    counts = scratch.save(known(), "counts")
+    out = keyed.join(counts, "content").select("_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return scratch.finish(out).withColumnRenamed("_id", id_col)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
