@@ -53,9 +53,10 @@ def exact_dedup(
 
     by_length = scratch.save(src.select(length).groupBy("_n").count().where("count > 1").select("_n"), "length")
     n = by_length.count()
-    second = _marked(src.select(length, "_t"), by_length, n, ["_n"], "_shared") if n else None
-    if second is not None:
-        by_prefix = second.where("_shared").select("_n", prefix).groupBy("_n", "_p").count().where("count > 1").select("_n", "_p")
+    if n:
+        # Narrow before the join, which may shuffle.
+        second = _marked(src.select(length, prefix), by_length, n, ["_n"], "_shared")
+        by_prefix = second.where("_shared").groupBy("_n", "_p").count().where("count > 1").select("_n", "_p")
         by_prefix = scratch.save(by_prefix, "prefix")
         n = by_prefix.count()
     full = F.sha2("_t", 256)
@@ -70,10 +71,9 @@ def exact_dedup(
     else:
         rows = rows.select("_id", "_n", "_p", F.lit(False).alias("_shared"), (full if digest_all else F.lit(None).cast("string")).alias("_h"))
     rows = rows.withColumn("_h", F.unhex("_h"))
-    groups = (
-        rows.where("_shared").groupBy("_h", "_n").agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_size")).where("_size > 1")
-    )
-    # Groups are unique by digest, so a hot digest is on one side only and can be split at run time.
+    groups = rows.where("_shared").groupBy("_h", "_n").agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_size")).where("_size > 1")
+    groups = scratch.save(groups, "groups")
+    # Groups are unique by digest, and read from a table: a hot digest is on one side only, and its rows can be split at run time.
     joined = rows.join(groups, ["_h", "_n"], "left")
     keep = F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_keep"))
     return joined.select(
