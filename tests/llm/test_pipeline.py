@@ -42,3 +42,26 @@ def test_empty(empty, spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_stages_with_clashing_columns_and_nulls(docs, spark, tmp_path):
+    """Whatever other columns are called, they come through as they were; null ids, null texts and repeated rows have their place."""
+    from pyspark.sql import functions as F
+
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    names = ["__file", "__row", "__value", "__key", "__copy", "_carry0", "file", "row", "word", "copies", "size", "_t", "_h", "_w", "_c", "_n", "_i", "_s", "_b", "_null", "value", "part"]
+    wide = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    wide = wide.unionByName(wide.where("doc_id % 10 = 0").withColumn("doc_id", F.lit(None).cast("long"))).unionByName(wide.where("doc_id = 3"))
+    wide.write.parquet(str(tmp_path / "wide"))
+    wide = spark.read.parquet(str(tmp_path / "wide"))
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, wide, str(tmp_path))
+        assert out.columns == wide.columns, name
+        again = out.where(" and ".join(f"`{n}` = concat('{n}', _id)" for n in names))
+        assert 0 < out.count() == again.count(), name
+    once = corpus_pipeline.no_copies(spark, wide, str(tmp_path))
+    texts = wide.select(F.coalesce("text", F.lit("")).alias("t")).distinct().count()
+    assert once.count() == texts == once.select(F.coalesce("text", F.lit(""))).distinct().count()
+    assert once.where("doc_id is null").count() == 0
+    near = corpus_pipeline.no_near_copies(spark, wide, str(tmp_path))
+    assert near.where("doc_id is null").count() == wide.where("doc_id is null").count()
