@@ -52,6 +52,8 @@ class Table:
     version: int = 0
     batch: int = 0
     stream: object = None
+    #: The version that the files were last listed for, and their scan.
+    scan: tuple[int, DataFrame] | None = None
 
     def manifest(self) -> str:
         kept = ("config", "deltas", "retired", "admitted", "applied", "schema", "batch")
@@ -326,9 +328,12 @@ class Engine:
             source = table.source if p is None else table.source.where(p)
             return row_states(table.spec, ingest.from_columns(table.spec, source, int(self.clock()), 0, ordered=False))
         if table.deltas:
-            # One scan, however many loads there were.
-            part = ", `__part` int" if table.spec.partitions and "`__part`" not in table.schema else ""
-            return self.spark.read.schema(table.schema + part).option("basePath", table.path).parquet(*table.deltas).drop("__delta")
+            # One scan, however many loads there were; its files are listed once for each state of the table.
+            if table.scan is None or table.scan[0] != table.version:
+                part = ", `__part` int" if table.spec.partitions and "`__part`" not in table.schema else ""
+                read = self.spark.read.schema(table.schema + part).option("basePath", table.path).parquet(*table.deltas)
+                table.scan = (table.version, read.drop("__delta"))
+            return table.scan[1]
         empty = self.spark.createDataFrame([], "f array<string>, " + f"{SEQ} struct<b:int,f:string,o:bigint,n:bigint>")
         fields = {c.name: 0 for c in table.spec.columns}
         return row_states(table.spec, ingest.typed(table.spec, empty, fields, int(self.clock())))
