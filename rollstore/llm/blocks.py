@@ -4,18 +4,23 @@ For operators that look for windows shared between documents.  A window a row wo
 shuffle many times the input, so documents are packed into blocks of a few MB, written
 once, and each block sends only, for each of P parts, one row with its distinct hashes.
 A part is a slice of the hash range: equal hashes meet there whatever their documents,
-and however often a hash occurs, a block sends it once.  Answers go back by block.
+and however often a hash occurs, a block sends it once.  Answers go back by block: the
+blocks are a table bucketed by their number, so a join brings the answers to the blocks
+and moves no text.  A block's number is drawn so that it falls into the bucket of the task
+that packs it, which makes the layout without a shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,7 +126,32 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
-def pack(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def spark_hash(x: np.ndarray) -> np.ndarray:
+    """The hash that Spark deals 64-bit integers into buckets by (Murmur3 of 32 bits, seed 42)."""
+
+    def turn(v: np.ndarray, r: int) -> np.ndarray:
+        return (v << np.uint32(r)) | (v >> np.uint32(32 - r))
+
+    h = np.full(len(x), 42, np.uint32)
+    x = x.astype(np.uint64)
+    for half in ((x & np.uint64(0xFFFFFFFF)).astype(np.uint32), (x >> np.uint64(32)).astype(np.uint32)):
+        h = turn(h ^ turn(half * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h = (h ^ np.uint32(8)) ^ ((h ^ np.uint32(8)) >> np.uint32(16))
+    h = h * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (h ^ (h >> np.uint32(16))).view(np.int32)
+
+
+def number_in(bucket: int, buckets: int) -> int:
+    """A random 63-bit number that Spark deals into the given bucket."""
+    while True:
+        drawn = np.frombuffer(os.urandom(16 * buckets + 64), np.int64) & np.int64(2**63 - 1)
+        fits = np.flatnonzero(spark_hash(drawn).astype(np.int64) % buckets == bucket)
+        if len(fits):
+            return int(drawn[fits[0]])
+
+
+def pack(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES, buckets: int = 1) -> DataFrame:
     """The documents as blocks: uid, ids (int64), sizes (int64), digests (32 bytes each), blob (zstd of all texts)."""
     src = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_t"))
 
@@ -131,8 +161,8 @@ def pack(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_B
             raw, offsets = utf8(table.column("_t").combine_chunks() if table.num_rows else table.column("_t"))
             data = raw.tobytes()
             digests = b"".join(hashlib.sha256(data[a:b]).digest() for a, b in zip(offsets[:-1], offsets[1:], strict=True))
-            # Written once and committed with its task, so a random name is as good as any.
-            uid = int.from_bytes(os.urandom(8), "little") >> 1
+            # Written once and committed with its task, so a random number is as good as any.
+            uid = number_in(TaskContext.get().partitionId() % buckets, buckets)
             ids = np.array([x if x is not None else -(2**63) for x in table.column("_id").to_pylist()], np.int64)
             blob = zstandard.ZstdCompressor(level=3).compress(data)
             row = {"uid": pa.array([uid], pa.int64())}
@@ -230,11 +260,16 @@ def answered(blocks: DataFrame, answers: DataFrame, name: str, scratch: Scratch)
     The answers are written, so that a later pass reads them and does not find them anew.
     """
     per = answers.groupBy("uid").agg(F.collect_list("refs").alias(name))
-    return blocks.join(scratch.save(per, name), "uid", "left")
+    return beside(blocks, scratch.save(per, name))
+
+
+def beside(blocks: DataFrame, more: DataFrame) -> DataFrame:
+    """The blocks with the columns of ``more`` (unique by uid), which are brought to their buckets."""
+    return blocks.join(more.hint("shuffle_hash"), "uid", "left")
 
 
-def copies(blocks: DataFrame) -> DataFrame:
-    """(uid, refs): places in the block of documents whose whole text has a copy with a smaller id."""
+def copies(blocks: DataFrame, scratch: Scratch) -> DataFrame:
+    """(uid, copies): places in the block of documents whose whole text has a copy with a smaller id."""
 
     def headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
@@ -244,9 +279,24 @@ def copies(blocks: DataFrame) -> DataFrame:
 
     heads = blocks.select("uid", "ids", "digests").mapInArrow(headers, "uid long, at int, id long, digest binary")
     first = heads.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    later = heads.join(first, "digest").where("id > first")
-    return later.groupBy("uid").agg(F.sort_array(F.collect_list("at")).alias("copies"))
-
-
-def saved_blocks(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
-    return scratch.save(pack(docs, id_col, text_col, block_bytes), "blocks")
+    # Unique by digest, and read from a table: the rows of a hot digest can be split at run time.
+    later = heads.join(scratch.save(first, "first"), "digest").where("id > first")
+    return scratch.save(later.groupBy("uid").agg(F.sort_array(F.collect_list("at")).alias("copies")), "copies")
+
+
+class Packed:
+    """The blocks of a table of documents, bucketed; ``close`` removes them with all that was written beside them."""
+
+    def __init__(self, docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, block_bytes: int):
+        self.spark, self.scratch = docs.sparkSession, scratch
+        self.name = f"spark_catalog.default.rollstore_blocks_{uuid.uuid4().hex}"
+        # No fewer than a shuffle has, or the planner would prefer to shuffle the blocks.
+        buckets = min(100_000, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        blocks = pack(docs, id_col, text_col, block_bytes, buckets)
+        blocks.write.format("parquet").option("compression", "none").option("path", scratch.path("blocks")).bucketBy(buckets, "uid").saveAsTable(self.name)
+        self.df = self.spark.table(self.name)
+
+    def close(self, result: DataFrame) -> DataFrame:
+        out = self.scratch.finish(result, "blocks")
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        return out

@@ -9,7 +9,7 @@ about a twentieth of the places is sent.  At the last level the smallest documen
 each window decides which copies go.
 
 Documents that equal one with a smaller id as a whole are settled by digest and send
-nothing at the last level; a block sends each hash once with its smallest id.  So neither
+nothing; a block sends each hash once with its smallest id.  So neither
 copies nor common passages pile up in a task.
 """
 
@@ -81,18 +81,23 @@ def refs(lists) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, np.uint32) for x in lists]) if lists else np.zeros(0, np.uint32)
 
 
-class WordBlock(B.Block):
+class LiveBlock(B.Block):
+    """A block with its units (hashes of words or bytes), each one's document, and which documents are copies."""
+
+    units: np.ndarray
+    owner: np.ndarray
+
     def __init__(self, row: dict):
         super().__init__(row)
-        self.hashes, self.starts, self.ends, self.owner = B.word_hashes(self.raw, self.offsets)
         self.copy = np.zeros(len(self.ids), bool)
         self.copy[row.get("copies") or []] = True
 
     def live_after(self, row: dict, lengths: list[int], window: int) -> np.ndarray:
-        """The windows alive after the answers to the given lengths."""
+        """The windows outside copies that are alive after the answers to the given lengths."""
         live = whole_windows(self.owner, window)
+        live &= ~self.copy[self.owner[: len(live)]]
         for i, length in enumerate(lengths):
-            first, n, h = anchors(self.hashes, self.owner, length, window, live)
+            first, n, h = anchors(self.units, self.owner, length, window, live)
             _, inverse, alive = in_two(h, self.owner[first])
             alive[refs(row[f"a{i}"])] = True
             keep = alive[inverse]
@@ -101,6 +106,37 @@ class WordBlock(B.Block):
         return live
 
 
+class WordBlock(LiveBlock):
+    def __init__(self, row: dict):
+        super().__init__(row)
+        self.units, self.starts, self.ends, self.owner = B.word_hashes(self.raw, self.offsets)
+
+
+def survivors(packed: B.Packed, block: type[LiveBlock], lengths: list[int], window: int, parts: int) -> DataFrame:
+    """The blocks with the answers a0, a1, ... to the given lengths, level by level, and the copies among their documents.
+
+    At each length, a block sends the least window of that length in each live one, half of
+    its hash beside the part; a chance match keeps a window alive in vain, nothing else.
+    """
+    carried = B.beside(packed.df, B.copies(packed.df, packed.scratch))
+
+    def level(i: int):
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in B.rows_of(batches):
+                b = block(row)
+                first, _, h = anchors(b.units, b.owner, lengths[i], window, b.live_after(row, lengths[:i], window))
+                uniq, _, _ = in_two(h, b.owner[first])
+                batch = B.entries(b.uid, uniq, np.arange(len(uniq)), None, parts)
+                short = [(np.frombuffer(x.as_py(), np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in batch.column("hashes")]
+                yield batch.set_column(2, "hashes", pa.array(short, pa.binary()))
+
+        return send
+
+    for i in range(len(lengths)):
+        carried = B.answered(carried, B.shared(carried.mapInArrow(level(i), B.ENTRY), "u4"), f"a{i}", packed.scratch)
+    return carried
+
+
 def first_owner(sent: DataFrame) -> DataFrame:
     """(uid, refs): the references whose hash has a smaller owner elsewhere."""
 
@@ -140,20 +176,10 @@ def substring_dedup(
     rows; other columns are ignored.  Windows are compared by 64-bit hashes of their words.
     """
     scratch = Scratch(docs.sparkSession, "windows")
-    packed = B.saved_blocks(docs, scratch, id_col, text_col, block_bytes)
-    parts = B.parts_for(packed)
+    packed = B.Packed(docs, scratch, id_col, text_col, block_bytes)
+    parts = B.parts_for(packed.df)
     lengths = levels(window, least)
-    carried = packed.join(scratch.save(B.copies(packed), "copies"), "uid", "left")
-
-    def lower(i: int):
-        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for row in B.rows_of(batches):
-                b = WordBlock(row)
-                first, _, h = anchors(b.hashes, b.owner, lengths[i], window, b.live_after(row, lengths[:i], window))
-                uniq, _, _ = in_two(h, b.owner[first])
-                yield B.entries(b.uid, uniq, np.arange(len(uniq)), None, parts)
-
-        return send
+    carried = survivors(packed, WordBlock, lengths[:-1], window, parts)
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in B.rows_of(batches):
@@ -164,8 +190,7 @@ def substring_dedup(
         """Starts of the windows that are alive outside copies, their distinct hashes, and each one's smallest id here."""
         live = b.live_after(row, lengths[:-1], window)
         starts = np.flatnonzero(live)
-        starts = starts[~b.copy[b.owner[starts]]]
-        uniq, inverse = np.unique(B.mixed(B.window_hashes(b.hashes, window)[starts]), return_inverse=True)
+        uniq, inverse = np.unique(B.mixed(B.window_hashes(b.units, window)[starts]), return_inverse=True)
         least_id = np.full(len(uniq), np.iinfo(np.int64).max)
         np.minimum.at(least_id, inverse, b.ids[b.owner[starts]])
         return starts, uniq, inverse, least_id
@@ -197,11 +222,8 @@ def substring_dedup(
                 "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
             } | ({"kept_text": pa.array([t.decode() for t in texts], pa.string())} if keep_text else {}))
 
-    for i in range(len(lengths) - 1):
-        found = B.shared(carried.mapInArrow(lower(i), B.ENTRY), "u8")
-        carried = B.answered(carried, found, f"a{i}", scratch)
     carried = B.answered(carried, first_owner(carried.mapInArrow(last, B.ENTRY)), "last", scratch)
-    return carried.mapInArrow(finish, f"_id long, {result}").withColumnRenamed("_id", id_col)
+    return packed.close(carried.mapInArrow(finish, f"_id long, {result}")).withColumnRenamed("_id", id_col)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,14 +1,18 @@
 """Suffix-array deduplication with longest-previous-factor arrays, over bytes.
 
-A repeated string of 50 bytes holds a repeated string of 16 bytes, and equal strings of
-50 choose the same one as their least by hash.  So each block first sends the hashes of
-those, about one in eighteen places; a block learns which of them two documents share.
-Around each shared one it then sends the stretch of text whose strings of 50 chose it,
-to the part that its hash belongs to, where all equal stretches meet.  A part sorts the
-suffixes of its stretches into a suffix array, takes the common prefix lengths of
-neighbours (up to 50 bytes) and finds for each suffix the previous and the next one in
-suffix order that belongs to a smaller document.  The longer of the two common prefixes
-is its longest previous factor; if that has 50 bytes, the string is a later copy.
+A repeated string of 50 bytes holds repeated strings of 16 and of 32 bytes, and equal
+strings of 50 choose the same ones as their least by hash.  So blocks first send hashes of
+those, level by level, and at last of the strings of 50 that are left; a block learns
+which of them two documents share.  Runs of shared strings are cut where their least
+string of 32 changes, and these stretches go to the part of that string's hash, where all
+equal ones meet.  As only shared strings are in a stretch, one line in many contexts is
+one stretch, not as many as there are contexts.
+
+A part builds the suffix array of its stretches by prefix doubling, takes the common
+prefix lengths of neighbours from the ranks that doubling left, and finds for each suffix
+the previous and the next one in suffix order that belongs to a smaller document, by
+pointer jumping, with the least common prefix on the way.  The longer of the two is its
+longest previous factor.  Where that has 50 bytes or more, the string is a later copy.
 
 Documents that equal one with a smaller id as a whole are settled by digest; a block
 sends equal stretches once, with the smallest id.
@@ -26,71 +30,99 @@ from pyspark.sql import DataFrame
 
 from . import blocks as B
 from .common import Scratch
-from .substring_dedup import anchors, in_two, refs, whole_windows
+from .substring_dedup import LiveBlock, anchors, refs, survivors
 
 #: Bytes in a string.
 WINDOW = 50
-#: Bytes of the string inside it that is compared first.
-ANCHOR = 16
+#: Bytes of the strings inside it that are compared before; the last is the one that stretches are cut by.
+ANCHORS = (16, 32)
+#: Bytes that a suffix is first ranked by: nine binary digits each, as the end is less than any byte.
+FIRST = 7
 
 STRETCH = "part int, uid long, refs binary, lengths binary, owners binary, blob binary"
 
 
-def suffix_array(text: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the suffixes that begin at ``starts``, by their first ``window`` bytes, and the common prefixes.
+def suffix_array(text: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """The order of all suffixes of the texts of the given lengths, which lie one after the other, and ranks by doubled prefixes.
 
-    The common prefix of a place with the one before is told as ``window`` if it reaches
-    that, else as 0: shorter ones decide nothing.
+    A suffix ends where its text does.  Ranks of a length are equal for suffixes whose first
+    so many bytes, or all, are equal.
     """
-    # Of one length, strings that differ only in final zero bytes, which this type drops, are equal.
-    keys = np.lib.stride_tricks.sliding_window_view(text, window)[starts].view(f"S{window}").ravel()
-    order = np.argsort(keys)
-    keys = keys[order]
-    lcp = np.zeros(len(order), np.int64)
-    lcp[1:][keys[1:] == keys[:-1]] = window
-    return order, lcp
-
-
-def longest_previous_factors(owner: np.ndarray, lcp: np.ndarray, window: int) -> np.ndarray:
-    """For each place in suffix order, ``window`` if a smaller owner has a factor that long, else 0.
-
-    ``owner`` is a dense rank of document ids.  Among neighbours whose common prefixes all
-    reach the window, the previous smaller owner exists where the least owner before is
-    smaller, and the next one likewise; beyond such a run every common prefix is shorter, so
-    no other owner matters.
+    n = len(text)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(n)
+    key = np.zeros(n, np.uint64)
+    for k in range(FIRST):
+        byte = np.zeros(n, np.uint64)
+        byte[: max(0, n - k)] = text[k:].astype(np.uint64) + np.uint64(1)
+        byte[left <= k] = 0
+        key = (key << np.uint64(9)) | byte
+    ranks: dict[int, np.ndarray] = {}
+    length, longest = FIRST, int(lengths.max(initial=0))
+    while True:
+        order = np.argsort(key, kind="stable")
+        new = np.ones(n, bool)
+        new[1:] = key[order[1:]] != key[order[:-1]]
+        rank = np.empty(n, np.int32)
+        rank[order] = np.cumsum(new)
+        ranks[length] = rank
+        if length >= longest or int(rank.max(initial=0)) == n:
+            return order, ranks
+        after = np.zeros(n, np.uint64)
+        after[: max(0, n - length)] = rank[length:]
+        after[left <= length] = 0
+        key = (rank.astype(np.uint64) << np.uint64(32)) | after
+        length *= 2
+
+
+def common_prefixes(text: np.ndarray, lengths: np.ndarray, order: np.ndarray, ranks: dict[int, np.ndarray]) -> np.ndarray:
+    """Of each suffix in order, the length of the prefix that it has in common with the one before; 0 for the first."""
+    n = len(text)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(n)
+    a, b = order[:-1], order[1:]
+    most = np.minimum(left[a], left[b])
+    have = np.zeros(len(a), np.int64)
+    at = lambda x: np.minimum(x + have, n - 1)
+    for length in sorted(ranks, reverse=True):
+        # Once a suffix has ended there is nothing more to have in common.
+        same = (have < most) & (ranks[length][at(a)] == ranks[length][at(b)])
+        have = np.where(same, np.minimum(have + length, most), have)
+    for _ in range(FIRST - 1):
+        have += (have < most) & (text[at(a)] == text[at(b)])
+    return np.concatenate([[0], have]) if n else have
+
+
+def longest_previous_factors(owner: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each suffix in order, how long a prefix of it a suffix of a smaller owner begins with.
+
+    The nearest smaller owners before and after share the most.  A pointer that finds an
+    owner not smaller goes on to where that one points, as all between are no smaller either.
     """
-    if not len(owner):
-        return owner
-    run = np.cumsum(lcp < window)
-    span = int(owner.max()) + 1
-    # Later runs lie lower, so that a running least never looks into the run before.
-    forward = np.minimum.accumulate(owner - run * span) + run * span
-    back_run = run[-1] - run
-    backward = (np.minimum.accumulate((owner - back_run * span)[::-1]))[::-1] + back_run * span
-    return np.where((forward < owner) | (backward < owner), window, 0)
-
-
-class ByteBlock(B.Block):
+    out = np.zeros(len(owner), np.int64)
+    for owners, common in ((owner, lcp), (owner[::-1], np.concatenate([[0], lcp[1:][::-1]]) if len(lcp) else lcp)):
+        n = len(owners)
+        low = np.concatenate([[np.iinfo(owners.dtype).min], owners])
+        to, least = np.arange(n + 1) - 1, np.concatenate([[0], common])
+        to[0] = 0
+        todo = np.flatnonzero(low[to] >= low)
+        todo = todo[todo > 0]
+        while len(todo):
+            at = to[todo]
+            to[todo], least[todo] = to[at], np.minimum(least[todo], least[at])
+            todo = todo[low[to[todo]] >= low[todo]]
+        found = np.where(to[1:] > 0, least[1:], 0)
+        out = np.maximum(out, found if owners is owner else found[::-1])
+    return out
+
+
+class ByteBlock(LiveBlock):
     def __init__(self, row: dict):
         super().__init__(row)
-        self.owner = B.group_rows(self.sizes)
-        self.copy = np.zeros(len(self.ids), bool)
-        self.copy[row.get("copies") or []] = True
-
-    def anchors(self, anchor: int, window: int):
-        return anchors(B.BYTE_HASH[self.raw], self.owner, anchor, window, whole_windows(self.owner, window))
-
-    def stretches(self, row: dict, anchor: int, window: int):
-        """Of documents that are no copies: start and number of the windows of each shared anchor, and its hash."""
-        first, n, h = self.anchors(anchor, window)
-        _, inverse, alive = in_two(h, self.owner[first])
-        alive[refs(row["a0"])] = True
-        keep = alive[inverse] & ~self.copy[self.owner[first]]
-        return first[keep], n[keep], h[keep]
-
-    def distinct(self, row: dict, anchor: int, window: int):
-        """Stretches, each one's index among the distinct, and of those: the text, the hash and the smallest id here."""
-        s, n, h = self.stretches(row, anchor, window)
+        self.units, self.owner = B.BYTE_HASH[self.raw], B.group_rows(self.sizes)
+
+    def stretches(self, row: dict, lengths: list[int], window: int):
+        """Start and number of strings of each stretch, the hash of its part, each one's index among the distinct, and of those: text, hash, smallest id here."""
+        live = self.live_after(row, lengths, window)
+        s, n, h = anchors(self.units, self.owner, lengths[-2], window, live)
         ids = self.ids[self.owner[s]]
         index: dict[bytes, int] = {}
         inverse = np.fromiter((index.setdefault(self.data[a:b], len(index)) for a, b in zip(s.tolist(), (s + n + window - 1).tolist(), strict=True)), np.int64, len(s))
@@ -112,16 +144,14 @@ def later_copies(sent: DataFrame, window: int) -> DataFrame:
         owner = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("owners")])
         ref = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("refs")])
         row = B.group_rows(np.array([len(x) for x in lengths]))
-        begins = np.concatenate([[0], np.cumsum(all_lengths)[:-1]])
-        n_windows = all_lengths - window + 1
-        stretch = B.group_rows(n_windows)
-        inside = np.arange(len(stretch)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
-        starts = begins[stretch] + inside
-        order, lcp = suffix_array(text, starts, window)
+        order, ranks = suffix_array(text, all_lengths)
+        lcp = common_prefixes(text, all_lengths, order, ranks)
+        del ranks
+        stretch = B.group_rows(all_lengths)
+        inside = np.arange(len(stretch)) - np.repeat(np.cumsum(all_lengths) - all_lengths, all_lengths)
         rank = np.unique(owner, return_inverse=True)[1].astype(np.int64)
-        lpf = longest_previous_factors(rank[stretch[order]], lcp, window)
-        later = np.zeros(len(starts), bool)
-        later[order] = lpf >= window
+        later = np.zeros(len(text), bool)
+        later[order] = longest_previous_factors(rank[stretch[order]], lcp) >= window
         at = np.flatnonzero(later)
         new = np.ones(len(at), bool)
         new[1:] = (at[1:] != at[:-1] + 1) | (stretch[at[1:]] != stretch[at[:-1]])
@@ -142,7 +172,7 @@ def suffix_dedup(
     text_col: str = "text",
     *,
     window: int = WINDOW,
-    anchor: int = ANCHOR,
+    anchor_bytes: tuple[int, ...] = ANCHORS,
     keep_bytes: bool = False,
     block_bytes: int = B.BLOCK_BYTES,
 ) -> DataFrame:
@@ -156,22 +186,13 @@ def suffix_dedup(
     table gives no rows; other columns are ignored.  Kept bytes need not be valid UTF-8.
     """
     scratch = Scratch(docs.sparkSession, "suffixes")
-    packed = B.saved_blocks(docs, scratch, id_col, text_col, block_bytes)
-    parts = B.parts_for(packed)
-
-    def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in B.rows_of(batches):
-            b = ByteBlock(row)
-            first, _, h = b.anchors(anchor, window)
-            uniq, _, _ = in_two(h, b.owner[first])
-            batch = B.entries(b.uid, uniq, np.arange(len(uniq)), None, parts)
-            # Half of the hash beside the part: a chance match costs a stretch sent in vain, nothing else.
-            short = [(np.frombuffer(x.as_py(), np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in batch.column("hashes")]
-            yield batch.set_column(2, "hashes", pa.array(short, pa.binary()))
+    packed = B.Packed(docs, scratch, id_col, text_col, block_bytes)
+    parts = B.parts_for(packed.df)
+    lengths = [*anchor_bytes, window]
 
     def send_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in B.rows_of(batches):
-            _, _, _, _, texts, hashes, least = ByteBlock(row).distinct(row, anchor, window)
+            _, _, _, _, texts, hashes, least = ByteBlock(row).stretches(row, lengths, window)
             part = (hashes % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             edges = np.searchsorted(part[order], np.arange(parts + 1))
@@ -195,7 +216,7 @@ def suffix_dedup(
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in B.rows_of(batches):
             b = ByteBlock(row)
-            s, n, ids, inverse, _, _, least = b.distinct(row, anchor, window)
+            s, n, ids, inverse, _, _, least = b.stretches(row, lengths, window)
             depth = np.zeros(len(b.raw) + 1, np.int32)
             here = ids > least[inverse]
             np.add.at(depth, s[here], 1)
@@ -223,10 +244,9 @@ def suffix_dedup(
                 "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
             } | ({"kept": pa.array(kept, pa.binary())} if keep_bytes else {}))
 
-    carried = packed.join(scratch.save(B.copies(packed), "copies"), "uid", "left")
-    carried = B.answered(carried, B.shared(packed.mapInArrow(send_anchors, B.ENTRY), "u4"), "a0", scratch)
+    carried = survivors(packed, ByteBlock, lengths, window, parts)
     carried = B.answered(carried, later_copies(carried.mapInArrow(send_stretches, STRETCH), window), "last", scratch)
-    return carried.mapInArrow(finish, f"_id long, {result}").withColumnRenamed("_id", id_col)
+    return packed.close(carried.mapInArrow(finish, f"_id long, {result}")).withColumnRenamed("_id", id_col)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

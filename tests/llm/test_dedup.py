@@ -151,3 +151,72 @@ def test_window_hashes():
     for w in (1, 2, 7, 38):
         m = blocks.window_min(units[::-1].copy(), w)
         assert m.tolist() == [int(units[::-1][i : i + w].min()) for i in range(len(units) - w + 1)]
+
+
+def test_suffix_arrays_and_factors_against_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for alphabet, lengths in ((2, [30, 1, 70, 5]), (1, [40, 40]), (3, [100]), (256, [60, 50, 60]), (2, [1, 1, 1])):
+        texts = [rng.integers(0, alphabet, n).astype(np.uint8) for n in lengths]
+        texts[-1][: len(texts[0])] = texts[0][: len(texts[-1])]
+        text, sizes = np.concatenate(texts), np.array(lengths)
+        owner = rng.permutation(len(lengths))[blocks.group_rows(sizes)]
+        suffixes = [t[k:].tobytes() for t in texts for k in range(len(t))]
+        order, ranks = suffix_dedup.suffix_array(text, sizes)
+        assert [suffixes[i] for i in order] == sorted(suffixes)
+        common = lambda x, y: next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))  # noqa: B905, E731
+        lcp = suffix_dedup.common_prefixes(text, sizes, order, ranks)
+        assert lcp.tolist() == [0] + [common(suffixes[a], suffixes[b]) for a, b in zip(order, order[1:])]  # noqa: B905
+        lpf = np.zeros(len(text), int)
+        lpf[order] = suffix_dedup.longest_previous_factors(owner[order], lcp)
+        assert lpf.tolist() == [max([common(x, y) for y, p in zip(suffixes, owner, strict=True) if p < o] or [0]) for x, o in zip(suffixes, owner, strict=True)]
+    assert len(suffix_dedup.longest_previous_factors(np.zeros(0, np.int64), np.zeros(0, np.int64))) == 0
+
+
+def test_bytes_of_a_line_in_many_contexts(spark):
+    """One line of 20, and one of 60 bytes, each in thousands of contexts: only the long one goes, and is sent once a block."""
+    short, long = "a line that is short", "this line is long enough to be removed wherever it is again!"
+    data = [(k, f"{k * 7919:08d}{k * 31:05d} {short if k % 2 else long} {k * 104729:010d}") for k in range(3000)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    assert rows(suffix_dedup.suffix_dedup(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.strings(data)
+
+
+def test_a_long_text(spark):
+    """A text of 300,000 words beside copies of its middle: whole texts, never a prefix."""
+    import random
+
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(200000)}" for _ in range(300_000)]
+    data = [(0, " ".join(words)), (1, " ".join(words[250_000:250_090])), (2, "x " + " ".join(words[-60:])), (3, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert rows(substring_dedup.substring_dedup(df), "doc_id", "n_words", "n_removed", "kept_sha256") == brute.windows(data)
+    by_id = {r.doc_id: r for r in suffix_dedup.suffix_dedup(df).collect()}
+    assert by_id[0].n_removed == 0 and by_id[1].n_removed == by_id[1].n_bytes and by_id[2].n_removed == by_id[2].n_bytes - 1
+    near = {r.doc_id: r.n_shingles for r in near_dedup.near_dedup(df).collect()}
+    assert near[0] > 299_000 and near[3] == 0
+
+
+def test_texts_are_not_moved(docs):
+    """Answers are brought to the blocks: the bucketed table is read without an exchange."""
+    from rollstore.llm.common import Scratch
+
+    packed = blocks.Packed(docs, Scratch(docs.sparkSession, "test"), "doc_id", "text", 2000)
+    assert packed.df.count() > 3
+    for r in packed.df.select("uid").collect():
+        assert r.uid >= 0
+    out = blocks.beside(packed.df, packed.df.groupBy("uid").count())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "blob" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+    assert out.where("count = 1").count() == packed.df.count()
+    packed.close(docs.sparkSession.range(1))
+
+
+def test_spark_hash(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    values = [0, 1, 42, 2**40 + 7, 2**63 - 1]
+    expected = [r.h for r in spark.createDataFrame([(v,) for v in values], "v long").select(F.hash("v").alias("h")).collect()]
+    assert blocks.spark_hash(np.array(values)).tolist() == expected
+    assert all(blocks.spark_hash(np.array([blocks.number_in(b, 7)]))[0] % 7 == b for b in range(7))
