@@ -10,6 +10,7 @@ finds the table as the last manifest has it.
 from __future__ import annotations
 
 import json
+import socket
 import threading
 import time
 import uuid
@@ -107,9 +108,12 @@ class Engine:
     warehouse).  Tables that an earlier engine left there are opened as they were; one engine
     at a time may load into them.
     ``clock`` gives the present in epoch seconds, from which time rollup counts back.
+    ``statsd`` ({host, port, prefix}) is where the statistics of loads and of profiled
+    queries go, as UDP packets; nobody waits for them.
     """
 
-    def __init__(self, spark: SparkSession, config: dict | None = None, *, path: str | None = None, clock: Callable[[], float] = time.time):
+    def __init__(self, spark: SparkSession, config: dict | None = None, *, path: str | None = None, clock: Callable[[], float] = time.time, statsd: dict | None = None):
+        self.statsd = statsd or {}
         self.spark = spark
         self.clock = clock
         self.path = path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/rollstore-{uuid.uuid4().hex}"
@@ -278,6 +282,7 @@ class Engine:
             # One step makes everything visible.
             self._publish(table)
             self.loads.append(LoadStats(table.spec.name, (time.perf_counter() - began) * 1000, stored))
+            self._report(self.loads[-1])
             if len(table.deltas) >= COMPACT_AT:
                 self.compact(table.spec.name)
             return stored
@@ -396,7 +401,15 @@ class Engine:
         df, seen = self.query(q), Observation()
         df.observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
         ms, plan = (time.perf_counter() - began) * 1000, df._jdf.queryExecution().executedPlan().toString()
-        return QueryStats(q["type"], name, ms, len(stored.deltas) if stored else 0, stored.records if stored else 0, seen.get["n"], plan)
+        stats = QueryStats(q["type"], name, ms, len(stored.deltas) if stored else 0, stored.records if stored else 0, seen.get["n"], plan)
+        self._report(stats)
+        return stats
+
+    def _report(self, stats: LoadStats | QueryStats) -> None:
+        if self.statsd:
+            lines = stats.lines(self.statsd.get("prefix", ""))
+            with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
+                s.sendto("\n".join(lines).encode(), (self.statsd.get("host", "127.0.0.1"), int(self.statsd.get("port", 8125))))
 
     # Metadata
 

@@ -167,3 +167,17 @@ def test_wrapping_sums(spark):
     e.load_rows("t", [["a", most], ["a", most], ["b", "-5"], ["b", "3"], ["c", str(-(2**63))]])
     e.load_rows("t", [["a", "1"], ["c", "-1"], ["b", "-9000000000000000000"]])
     assert sorted(got(e, "SELECT k, s FROM t")) == ["a -1", "b -9000000000000000002", f"c {most}"]
+
+
+def test_statistics_are_sent(spark):
+    import socket
+
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
+        s.bind(("127.0.0.1", 0))
+        s.settimeout(10)
+        e = Engine(spark, {"tables": [INAPP]}, statsd={"port": s.getsockname()[1], "prefix": "here."})
+        e.load_rows("events", [["US", "sale", "1", "2"]])
+        assert s.recv(1000).decode().splitlines()[1] == "here.load.events.rows:1|c"
+        e.profile({"type": "search", "table": "events", "dimension": "country", "term": "U"})
+        lines = s.recv(1000).decode().splitlines()
+        assert "here.query.search.events.rows:1|c" in lines and "here.query.search.events.segments:1|c" in lines
