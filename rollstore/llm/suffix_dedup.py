@@ -1,14 +1,13 @@
 """Suffix-array deduplication with longest-previous-factor arrays, over bytes.
 
-A repeated string of 50 bytes holds repeated strings of 16 and of 32 bytes, and equal
-strings of 50 choose the same ones as their least by hash.  So blocks first send hashes of
-those, level by level, and at last of the strings of 50 that are left; a block learns
-which of them two documents share.  Runs of shared strings are cut where their least
-string of 32 changes, and these stretches go to the part of that string's hash, where all
-equal ones meet.  As only shared strings are in a stretch, one line in many contexts is
-one stretch, not as many as there are contexts.
-
-A part builds the suffix array of its stretches by prefix doubling, takes the common
+A repeated string of 50 bytes holds a repeated string of 32 bytes, and equal strings of 50
+choose the same one as their least by hash.  So blocks first send hashes of those, and
+learn which of them two documents share; a line of some 30 bytes in many contexts goes no
+further.  Runs of strings of 50 that are left are cut where their least string of 16
+changes, and these stretches go to the part of that string's hash, where all equal strings
+meet.  Equal stretches are one there, and are later copies as a whole but for the first.
+
+A part builds suffix arrays of its distinct stretches, some thousand at a time, by prefix doubling, takes the common
 prefix lengths of neighbours from the ranks that doubling left, and finds for each suffix
 the previous and the next one in suffix order that belongs to a smaller document, by
 pointer jumping, with the least common prefix on the way.  The longer of the two is its
@@ -34,12 +33,14 @@ from .substring_dedup import LiveBlock, anchors, refs, survivors
 
 #: Bytes in a string.
 WINDOW = 50
-#: Bytes of the strings inside it that are compared before; the last is the one that stretches are cut by.
-ANCHORS = (16, 32)
+#: Bytes of the string inside it that is compared first, and of the one that stretches are cut by.
+ANCHOR, CUT = 32, 16
+#: Suffix arrays of a part: a string's hash tells which one it is in.
+ARRAYS = 64
 #: Bytes that a suffix is first ranked by: nine binary digits each, as the end is less than any byte.
 FIRST = 7
 
-STRETCH = "part int, uid long, refs binary, lengths binary, owners binary, blob binary"
+STRETCH = "part int, uid long, refs binary, lengths binary, owners binary, counts binary, blob binary"
 
 
 def suffix_array(text: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
@@ -119,10 +120,10 @@ class ByteBlock(LiveBlock):
         super().__init__(row)
         self.units, self.owner = B.BYTE_HASH[self.raw], B.group_rows(self.sizes)
 
-    def stretches(self, row: dict, lengths: list[int], window: int):
+    def stretches(self, row: dict, anchor: int, cut: int, window: int):
         """Start and number of strings of each stretch, the hash of its part, each one's index among the distinct, and of those: text, hash, smallest id here."""
-        live = self.live_after(row, lengths, window)
-        s, n, h = anchors(self.units, self.owner, lengths[-2], window, live)
+        live = self.live_after(row, [anchor], window)
+        s, n, h = anchors(self.units, self.owner, cut, window, live)
         ids = self.ids[self.owner[s]]
         index: dict[bytes, int] = {}
         inverse = np.fromiter((index.setdefault(self.data[a:b], len(index)) for a, b in zip(s.tolist(), (s + n + window - 1).tolist(), strict=True)), np.int64, len(s))
@@ -133,34 +134,58 @@ class ByteBlock(LiveBlock):
         return s, n, ids, inverse, list(index), hashes, least
 
 
+def later_runs(texts: list[bytes], owner: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first, count), sorted: runs of places in the texts whose strings a text of a smaller owner has too."""
+    text, lengths = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], np.int64)
+    order, ranks = suffix_array(text, lengths)
+    lcp = common_prefixes(text, lengths, order, ranks)
+    which = B.group_rows(lengths)
+    rank = np.unique(owner, return_inverse=True)[1].astype(np.int64)
+    later = np.zeros(len(text), bool)
+    later[order] = longest_previous_factors(rank[which[order]], lcp) >= window
+    at = np.flatnonzero(later)
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (which[at[1:]] != which[at[:-1]])
+    first = np.flatnonzero(new)
+    begins = np.cumsum(lengths) - lengths
+    return which[at[first]], at[first] - begins[which[at[first]]], np.diff(np.append(first, len(at)))
+
+
 def later_copies(sent: DataFrame, window: int) -> DataFrame:
-    """(uid, refs): triples of a stretch, the first of its windows that is a later copy, and how many follow."""
+    """(uid, refs): triples of a stretch, the first of its strings that is a later copy, and how many follow."""
 
     def part(table: pa.Table) -> pa.Table:
         unzip = zstandard.ZstdDecompressor()
-        lengths = [np.frombuffer(x.as_py(), np.int64) for x in table.column("lengths")]
-        all_lengths = np.concatenate(lengths)
-        text = np.frombuffer(b"".join(unzip.decompress(x.as_py(), max_output_size=int(n.sum())) for x, n in zip(table.column("blob"), lengths, strict=True)), np.uint8)
-        owner = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("owners")])
-        ref = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("refs")])
-        row = B.group_rows(np.array([len(x) for x in lengths]))
-        order, ranks = suffix_array(text, all_lengths)
-        lcp = common_prefixes(text, all_lengths, order, ranks)
-        del ranks
-        stretch = B.group_rows(all_lengths)
-        inside = np.arange(len(stretch)) - np.repeat(np.cumsum(all_lengths) - all_lengths, all_lengths)
-        rank = np.unique(owner, return_inverse=True)[1].astype(np.int64)
-        later = np.zeros(len(text), bool)
-        later[order] = longest_previous_factors(rank[stretch[order]], lcp) >= window
-        at = np.flatnonzero(later)
-        new = np.ones(len(at), bool)
-        new[1:] = (at[1:] != at[:-1] + 1) | (stretch[at[1:]] != stretch[at[:-1]])
-        first = np.flatnonzero(new)
-        counts = np.diff(np.append(first, len(at)))
-        triples = np.stack([ref[stretch[at[first]]], inside[at[first]].astype(np.uint32), counts.astype(np.uint32)], axis=1).astype(np.uint32)
-        to = row[stretch[at[first]]]
-        edges = np.searchsorted(to, np.arange(table.num_rows + 1))
-        out = [triples[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        index: list[dict[bytes, int]] = [{} for _ in range(ARRAYS)]
+        refs_, owners, arrays, numbers, sizes, rows = [], [], [], [], [], []
+        for i, row in enumerate(B.rows_of(iter(table.to_batches()))):
+            lengths = np.frombuffer(row["lengths"], np.uint16).astype(np.int64)
+            data = unzip.decompress(row["blob"], max_output_size=int(lengths.sum()))
+            array = np.repeat(np.arange(ARRAYS), np.frombuffer(row["counts"], np.uint32))
+            ends = np.cumsum(lengths)
+            # Setting a default keeps one copy of each distinct text.
+            found = [d.setdefault(data[a:b], len(d)) for d, a, b in zip(map(index.__getitem__, array.tolist()), (ends - lengths).tolist(), ends.tolist(), strict=True)]
+            for held, x in ((refs_, np.frombuffer(row["refs"], np.uint32)), (owners, np.frombuffer(row["owners"], np.int64)), (arrays, array), (numbers, np.array(found, np.int64)), (sizes, lengths), (rows, np.full(len(array), i))):
+                held.append(x)
+        ref, owner, array, number, size, row_of = map(np.concatenate, (refs_, owners, arrays, numbers, sizes, rows))
+        base = np.cumsum([0, *map(len, index)])
+        number = number + base[array]
+        least = np.full(int(base[-1]), np.iinfo(np.int64).max)
+        np.minimum.at(least, number, owner)
+        runs = [later_runs(list(d), least[base[k] : base[k + 1]], window) for k, d in enumerate(index)]
+        text = np.concatenate([r[0] + base[k] for k, r in enumerate(runs)])
+        first, count = (np.concatenate([r[j] for r in runs]) for j in (1, 2))
+        # A stretch that another owner has before goes as a whole; the first one where other stretches say so.
+        whole = np.flatnonzero(owner > least[number])
+        some = np.flatnonzero(owner == least[number])
+        lo, hi = np.searchsorted(text, number[some], "left"), np.searchsorted(text, number[some], "right")
+        which = B.group_rows(hi - lo)
+        run = lo[which] + np.arange(len(which)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
+        stretch = np.concatenate([whole, some[which]])
+        triples = np.stack([ref[stretch], np.concatenate([np.zeros(len(whole), np.int64), first[run]]), np.concatenate([size[whole] - window + 1, count[run]])], axis=1).astype(np.uint32)
+        order = np.argsort(row_of[stretch], kind="stable")
+        edges = np.searchsorted(row_of[stretch][order], np.arange(table.num_rows + 1))
+        out = [triples[order[a:b]].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
         return pa.table({"uid": table.column("uid"), "refs": pa.array(out, pa.binary())})
 
     return sent.groupBy("part").applyInArrow(part, "uid long, refs binary")
@@ -172,7 +197,8 @@ def suffix_dedup(
     text_col: str = "text",
     *,
     window: int = WINDOW,
-    anchor_bytes: tuple[int, ...] = ANCHORS,
+    anchor: int = ANCHOR,
+    cut: int = CUT,
     keep_bytes: bool = False,
     block_bytes: int = B.BLOCK_BYTES,
 ) -> DataFrame:
@@ -188,35 +214,33 @@ def suffix_dedup(
     scratch = Scratch(docs.sparkSession, "suffixes")
     packed = B.Packed(docs, scratch, id_col, text_col, block_bytes)
     parts = B.parts_for(packed.df)
-    lengths = [*anchor_bytes, window]
 
     def send_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in B.rows_of(batches):
-            _, _, _, _, texts, hashes, least = ByteBlock(row).stretches(row, lengths, window)
-            part = (hashes % np.uint64(parts)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[order], np.arange(parts + 1))
+            _, _, _, _, texts, hashes, least = ByteBlock(row).stretches(row, anchor, cut, window)
+            part, array = (hashes % np.uint64(parts)).astype(np.int32), (hashes // np.uint64(parts) % np.uint64(ARRAYS)).astype(np.int64)
+            order = np.lexsort((array, part))
+            edges = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))
             zip_ = zstandard.ZstdCompressor(level=1)
-            out: dict[str, list] = {k: [] for k in ("part", "uid", "refs", "lengths", "owners", "blob")}
-            for p in range(parts):
-                some = order[edges[p] : edges[p + 1]]
-                if not len(some):
-                    continue
+            out: dict[str, list] = {k: [] for k in ("part", "uid", "refs", "lengths", "owners", "counts", "blob")}
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                some = order[a:b]
                 chosen = [texts[i] for i in some.tolist()]
-                out["part"].append(p)
+                out["part"].append(int(part[some[0]]))
                 out["uid"].append(row["uid"])
                 out["refs"].append(some.astype(np.uint32).tobytes())
-                out["lengths"].append(np.array([len(x) for x in chosen], np.int64).tobytes())
+                out["lengths"].append(np.array([len(x) for x in chosen], np.uint16).tobytes())
                 out["owners"].append(least[some].tobytes())
+                out["counts"].append(np.bincount(array[some], minlength=ARRAYS).astype(np.uint32).tobytes())
                 out["blob"].append(zip_.compress(b"".join(chosen)))
-            yield pa.RecordBatch.from_pydict({"part": pa.array(out["part"], pa.int32()), "uid": pa.array(out["uid"], pa.int64())} | {k: pa.array(out[k], pa.binary()) for k in ("refs", "lengths", "owners", "blob")})
+            yield pa.RecordBatch.from_pydict({"part": pa.array(out["part"], pa.int32()), "uid": pa.array(out["uid"], pa.int64())} | {k: pa.array(out[k], pa.binary()) for k in ("refs", "lengths", "owners", "counts", "blob")})
 
     result = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_bytes else "")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in B.rows_of(batches):
             b = ByteBlock(row)
-            s, n, ids, inverse, _, _, least = b.stretches(row, lengths, window)
+            s, n, ids, inverse, _, _, least = b.stretches(row, anchor, cut, window)
             depth = np.zeros(len(b.raw) + 1, np.int32)
             here = ids > least[inverse]
             np.add.at(depth, s[here], 1)
@@ -244,7 +268,7 @@ def suffix_dedup(
                 "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
             } | ({"kept": pa.array(kept, pa.binary())} if keep_bytes else {}))
 
-    carried = survivors(packed, ByteBlock, lengths, window, parts)
+    carried = survivors(packed, ByteBlock, [anchor], window, parts)
     carried = B.answered(carried, later_copies(carried.mapInArrow(send_stretches, STRETCH), window), "last", scratch)
     return packed.close(carried.mapInArrow(finish, f"_id long, {result}")).withColumnRenamed("_id", id_col)
 
