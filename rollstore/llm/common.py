@@ -39,6 +39,8 @@ def prepare(spark: SparkSession) -> None:
     env = sc.environment
     env.setdefault("TOKENIZERS_PARALLELISM", "false")
     env.setdefault("OMP_NUM_THREADS", "1")
+    # Buffers of freed batches go back to the system, not to a pool that a worker keeps while it idles.
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
     if getattr(sc, "_rollstore_shipped", False):
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

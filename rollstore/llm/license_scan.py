@@ -79,7 +79,6 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software"]),
     ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ["authors be held liable"]),
     ("boost", "boost software license version 1 0", ["boost software license"]),
-    ("wtfpl", "do what the fuck you want to public license", ["what the fuck you want"]),
 ]
 
 #: Share of a template's words that must stand at their places; postings that must agree on a shift, at most.
