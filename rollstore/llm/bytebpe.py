@@ -228,13 +228,13 @@ def encode(
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
-        for batch in slices(batches, "_t", 4 << 20):
+        for batch in slices(batches, "_t", 1 << 20):
             ids = [bpe.encode(t) for t in batch.column("_t").to_pylist()]
             yield pa.RecordBatch.from_pydict({"_id": batch.column("_id")} | columns(ids, [bpe.decode(x) for x in ids]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
-        for batch in slices(batches, "_t", 4 << 20):
+        for batch in slices(batches, "_t", 1 << 20):
             for key, text in zip(batch.column("_key").to_pylist(), batch.column("_t").to_pylist(), strict=True):
                 leaves = bpe.cut(text, leaf)
                 for at in range(0, len(leaves), 256):
@@ -247,7 +247,7 @@ def encode(
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
-        for batch in slices(batches, "_leaf", 4 << 20):
+        for batch in slices(batches, "_leaf", 1 << 20):
             ids = [bpe.encode_leaf(t, i) for t, i in zip(batch.column("_leaf").to_pylist(), batch.column("_inner").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pydict({"_key": batch.column("_key"), "_at": batch.column("_at"), "_joined": batch.column("_joined"), "_ids": pa.array(ids, pa.binary())})
 

@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 BROADCAST_BYTES = 16 << 20
 
 #: Bytes of a batch of rows that goes to a Python worker, where the session has Spark's default.
-BATCH_BYTES, DEFAULT_BATCH, BATCH_KEY = 4 << 20, 64 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES, DEFAULT_BATCH, BATCH_KEY = 2 << 20, 64 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 #: ASCII white space of the word definition ``[^\x20\x09-\x0D]+``.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -245,7 +245,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     result = "_id {}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_t", 2 << 20):
+        for batch in slices(batches, "_t", 1 << 20):
             rows = idx.scan(*utf8(batch.column("_t")))
             number = lambda k: pa.array([r[k] for r in rows], pa.int64())
             yield pa.RecordBatch.from_pydict({"_id": batch.column("_id")} | {k: number(k) for k in ("n_words", "n_base", "first_word", "last_word")} | {

@@ -46,7 +46,7 @@ SLACK = 6.0
 #: 64-bit words of a parity sketch.
 PARITY = 16
 #: Bytes of text hashed at once.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

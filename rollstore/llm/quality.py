@@ -207,7 +207,7 @@ def featured(src: DataFrame) -> DataFrame:
     prepare(src.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_t", 2 << 20):
+        for batch in slices(batches, "_t", 1 << 20):
             x = features(*utf8(batch.column("_t")))
             yield pa.RecordBatch.from_pydict({"_id": batch.column("_id"), "x": pa.array(list(x), pa.list_(pa.float64()))})
 
@@ -242,7 +242,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_t", 2 << 20):
+        for batch in slices(batches, "_t", 1 << 20):
             score = model.score(features(*utf8(batch.column("_t"))))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["_id", "score", "predicted"])
 
@@ -257,7 +257,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", *, threshold
     at = schema.fieldNames().index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col, 2 << 20):
+        for batch in slices(batches, text_col, 1 << 20):
             yield batch.filter(pa.array(model.score(features(*utf8(batch.column(at)))) >= threshold))
 
     return docs.mapInArrow(run, schema)
