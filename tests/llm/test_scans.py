@@ -160,7 +160,7 @@ def test_tables_are_the_sum_of_their_trees(monkeypatch):
     slow = []
     for row in x:
         z = m.base + sum(m.tables[j][np.searchsorted(m.cuts[j], row[j], side="right")] for j in range(3))
-        z += sum(t[np.searchsorted(m.coarse[i], row[i], side="right"), np.searchsorted(m.coarse[j], row[j], side="right")] for (i, j), t in zip(m.pairs, m.pair_tables, strict=True))
+        z += sum(t[np.searchsorted(m.pair_cuts[i], row[i], side="right"), np.searchsorted(m.pair_cuts[j], row[j], side="right")] for (i, j), t in zip(m.pairs, m.pair_tables, strict=True))
         slow.append(1 / (1 + np.exp(-z)))
     assert m.pairs and np.allclose(m.score(x), slow)
 
